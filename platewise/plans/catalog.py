@@ -1,0 +1,238 @@
+"""Named queries over the plate runs derived from an ``events`` table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platewise.functions import text
+from platewise.operators import boxes, feeds, flags, plates, runs, stats, wells
+from platewise.plans import jobs
+from platewise.schema import RUN_FIELDS, WELLS
+from platewise.session import scratch_folder
+from platewise.sources import plate_events, tables, workbooks
+
+# The sample types the mapping of events gives, for tables with a column per type.
+SAMPLE_TYPES = [
+    "Auto_Neg",
+    "Lysis_1.25mL_Control",
+    "Lysis_5mL_Control",
+    "Manual_Neg",
+    "Manual_Pos",
+    "Unknown",
+]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plate_events.raw_results(plate_events.events(spark, sf_dir)).drop("run_no")
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wells without run fields and replicate numbers."""
+    return wells.clean_wells(raw(spark, sf_dir))
+
+
+def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table of wells."""
+    fields = plate_events.run_fields(plate_events.events(spark, sf_dir))
+    numbered = wells.replicate_numbers(clean(spark, sf_dir))
+    return wells.attach_run_info(numbered, fields).select(*WELLS.names)
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet rows that went through real workbook bytes."""
+    files = plate_events.workbook_files(plate_events.events(spark, sf_dir))
+    return workbooks.decode_workbooks(files)
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheet rows without the detour over bytes."""
+    return plate_events.sheet_rows(plate_events.events(spark, sf_dir))
+
+
+def _on_clean(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(clean(spark, sf_dir))
+
+
+def _on_flags(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(flags.flag_rows(clean(spark, sf_dir)))
+
+
+def _on_stats(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(stats.sample_type_stats(clean(spark, sf_dir)))
+
+
+def _dotless(df: DataFrame) -> DataFrame:
+    """Column names that need no quoting; the library keeps the dots."""
+    return df.toDF(*[c.replace(".", "_") for c in df.columns])
+
+
+def _on_types(operator: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: _dotless(operator(clean(spark, sf_dir), SAMPLE_TYPES))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = full(spark, sf_dir)
+    return flags.annotate_wells(base, flags.flag_rows(clean(spark, sf_dir)))
+
+
+def _cq_by_plate_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = clean(spark, sf_dir)
+    return feeds.cq_by_plate_row(flags.annotate_wells(base, flags.flag_rows(base)))
+
+
+def _run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = flags.mark_ic_failures(full(spark, sf_dir), flags.flag_rows(clean(spark, sf_dir)))
+    return stats.run_detail(marked)
+
+
+def _ic_fail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = clean(spark, sf_dir)
+    return flags.mark_ic_failures(base, flags.flag_rows(base)).select("run_id", "row_idx", "well", "ic_failed")
+
+
+def _key_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = clean(spark, sf_dir)
+    return stats.key_metrics(base, flags.flag_rows(base))
+
+
+def _attach_run_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = plate_events.run_fields(plate_events.events(spark, sf_dir))
+    return wells.attach_run_info(clean(spark, sf_dir), fields).select("run_id", "row_idx", "well", *RUN_FIELDS)
+
+
+def _numeric_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wells.coerce_numbers(raw(spark, sf_dir)).select("run_id", "row_idx", "target_cq", "ic_cq", "sq")
+
+
+def _is_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).select(
+        "run_id", "row_idx", "result", text.is_positive(F.col("result")).alias("is_positive")
+    )
+
+
+def _has_target_cq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(spark, sf_dir).select("run_id", "row_idx", F.col("target_cq").isNotNull().alias("has_target_cq"))
+
+
+def _results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wells.coerce_numbers(workbooks.results_table(laid_out(spark, sf_dir)))
+
+
+def _wells_from_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wells.wells_from_sheet_rows(sheets(spark, sf_dir))
+
+
+def _validate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbooks.structure_issues(workbooks.structure_facts(laid_out(spark, sf_dir)))
+
+
+def _structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = workbooks.structure_facts(laid_out(spark, sf_dir))
+    return workbooks.structure_report(facts, workbooks.structure_issues(facts))
+
+
+def _load_runs(fmt: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{scratch_folder(spark)}/wells"
+        tables.write_wells(full(spark, sf_dir), folder, fmt)
+        return tables.load_wells(spark, folder, fmt)
+
+    return query
+
+
+def _write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all tables, read them back, and count their rows."""
+    folder = scratch_folder(spark)
+    tables.write_wells(full(spark, sf_dir), f"{folder}/parsed")
+    written = jobs.write_outputs(spark, tables.load_wells(spark, f"{folder}/parsed"), f"{folder}/out")
+    counts = [
+        spark.read.parquet(f"{folder}/out/{name}")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .select(F.lit(name).alias("table_name"), "n_rows")
+        for name in written
+    ]
+    result = counts[0]
+    for one in counts[1:]:
+        result = result.unionByName(one)
+    return result
+
+
+def _select(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+    return lambda spark, sf_dir: operator(clean(spark, sf_dir)).select("run_id", "row_idx", *columns)
+
+
+def queries() -> dict[str, Query]:
+    return {
+        # reading and checking
+        "workbook_cells": lambda s, d: workbooks.cells(sheets(s, d)),
+        "sheet_roles": lambda s, d: workbooks.sheet_roles(laid_out(s, d)),
+        "run_info": lambda s, d: workbooks.run_info(laid_out(s, d)),
+        "run_info_entries": lambda s, d: workbooks.run_info_entries(laid_out(s, d)),
+        "results_table": _results_table,
+        "wells_from_workbooks": _wells_from_workbooks,
+        "validate_structure": _validate_structure,
+        "structure_report": _structure_report,
+        "load_runs": _load_runs("parquet"),
+        "load_runs_csv": _load_runs("csv"),
+        "write_outputs": _write_outputs,
+        # row-wise steps
+        "sample_type": _select(lambda w: w, "sample_label", "sample_type", "sample_label_clean"),
+        "is_control": _select(lambda w: w, "content", "is_control"),
+        "numeric_coerce": _numeric_coerce,
+        "drop_blank_wells": lambda s, d: wells.drop_blank_wells(raw(s, d)).select("run_id", "row_idx", "well"),
+        "is_positive": _is_positive,
+        "has_target_cq": _has_target_cq,
+        "well_position": _select(plates.well_position, "well", "plate_row", "plate_col", "on_plate"),
+        "off_plate_wells": _on_clean(plates.off_plate_wells),
+        "plate_order": _select(plates.plate_order, "well", "order_row", "order_col"),
+        "well_label": _on_clean(lambda w: feeds.well_labels(w).select("run_id", "row_idx", "well", "label")),
+        "result_code": _on_clean(
+            lambda w: feeds.well_labels(w).select("run_id", "row_idx", "result_code", "result_class")
+        ),
+        # numbering and run fields
+        "replicate_numbers": lambda s, d: wells.replicate_numbers(clean(s, d)).select(
+            "run_id", "row_idx", "sample_type", "replicate"
+        ),
+        "attach_run_info": _attach_run_info,
+        # quality flags
+        "borderline_flags": _on_clean(lambda w: flags.qc_flags(flags.borderline_flags(w))),
+        "ic_outlier_flags": _on_clean(lambda w: flags.qc_flags(flags.ic_outlier_flags(w))),
+        "qc_flags": _on_flags(flags.qc_flags),
+        "annotated_wells": _annotated,
+        "ic_fail_lookup": _ic_fail_lookup,
+        "flag_reason_counts": _on_flags(flags.flag_reason_counts),
+        "flags_display": _on_flags(flags.flags_display),
+        # statistics
+        "sample_type_stats": _on_clean(stats.sample_type_stats),
+        "control_stats": _on_clean(stats.control_stats),
+        "key_metrics": _key_metrics,
+        "parse_summary": _on_clean(stats.parse_summary),
+        "grand_band": _on_clean(stats.grand_band),
+        "dimension_lists": _on_clean(stats.dimension_lists),
+        "stats_display": lambda s, d: _dotless(_on_stats(stats.stats_display)(s, d)),
+        "stats_text": _on_stats(stats.stats_text),
+        "run_detail": _run_detail,
+        # runs
+        "interrun_cv": _on_clean(runs.interrun_cv),
+        "run_comparison_long": _on_clean(runs.run_comparison_long),
+        "run_comparison": _on_types(runs.run_comparison),
+        "run_positivity_matrix": _on_types(runs.run_positivity_matrix),
+        # plates
+        "last_write_wins": _on_clean(plates.last_write_wins),
+        "plate_result_grid": _on_clean(plates.plate_result_grid),
+        "plate_cq_grid": _on_clean(plates.plate_cq_grid),
+        "plate_cq_scale": _on_clean(plates.plate_cq_scale),
+        "plate_layout": _on_clean(plates.plate_layout),
+        # charts
+        "positivity_bar": _on_stats(feeds.positivity_bar),
+        "cq_scatter": _on_clean(feeds.cq_scatter),
+        "cq_by_plate_row": _cq_by_plate_row,
+        "cq_by_sample_type": _on_clean(feeds.cq_by_sample_type),
+        "cq_box_stats": _on_clean(boxes.cq_box_stats),
+        "interrun_cv_bar": _on_clean(lambda w: runs.interrun_cv_bar(runs.interrun_cv(w))),
+    }
