@@ -268,7 +268,8 @@ def oracle_sql() -> dict[str, str]:
                    run_no % 20 <> 19 AS passed
             FROM exported GROUP BY run_id, run_no""",
         "load_runs": wells,
-        "load_runs_csv": wells,
+        # a CSV file does not tell an empty text from an absent one
+        "load_runs_csv": "SELECT * REPLACE (nullif(sample_label, '') AS sample_label) FROM wells",
         "write_outputs": _counts(),
         "sample_type": "SELECT run_id, row_idx, sample_label, sample_type, sample_label_clean FROM clean",
         "is_control": "SELECT run_id, row_idx, content, is_control FROM clean",

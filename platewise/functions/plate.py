@@ -6,21 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from platewise.functions.text import blank_to_null, folded, strip
-from platewise.schema import PLATE_COLUMNS, PLATE_ROWS, RESULT_CODES
+from platewise.schema import PLATE_ROWS, RESULT_CODES
 
 # A letter A-H of any case, then digits; text behind the digits is ignored.
-_POSITION = f"^([{PLATE_ROWS}])([0-9]+)"
+_POSITION = f"(?i)^([{PLATE_ROWS}])([0-9]+)"
+# The same with a number from 1 to 12, leading zeros allowed.
+_ON_PLATE = f"(?i)^[{PLATE_ROWS}]0*([1-9]|1[0-2])(?![0-9])"
 
 
 def plate_letter(well: Column) -> Column:
     """Row letter A-H, NULL if the well name has no position."""
-    return F.nullif(F.regexp_extract(F.upper(strip(well)), _POSITION, 1), F.lit(""))
+    return F.upper(F.nullif(F.regexp_extract(strip(well), _POSITION, 1), F.lit("")))
 
 
 def plate_number(well: Column) -> Column:
     """Column number as written (not limited to 1-12), NULL without a position."""
-    digits = F.regexp_extract(F.upper(strip(well)), _POSITION, 2)
-    return F.nullif(digits, F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(strip(well), _POSITION, 2), F.lit("")).try_cast("int")
+
+
+def on_plate(well: Column) -> Column:
+    """Is the position one of A1 to H12? One match, so it is cheap as a filter."""
+    return F.coalesce(strip(well).rlike(_ON_PLATE), F.lit(False))
 
 
 def letter_index(letter: Column) -> Column:
@@ -28,10 +34,6 @@ def letter_index(letter: Column) -> Column:
     return F.ascii(letter) - F.lit(ord(PLATE_ROWS[0]))
 
 
-def on_plate(letter: Column, number: Column) -> Column:
-    return F.coalesce(letter.isNotNull() & number.between(1, PLATE_COLUMNS), F.lit(False))
-
-
 def well_label(sample_label: Column, content: Column) -> Column:
     """Sample label, the content where that is blank, else ''."""
     label = F.nullif(blank_to_null(sample_label), F.lit("nan"))

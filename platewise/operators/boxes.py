@@ -14,19 +14,22 @@ _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _WHISKER_REACH = 1.5
 
 
-def _ranked_values(points: DataFrame) -> DataFrame:
-    """Distinct values of each type with the ranks [start, end) they take.
+def _counted_values(points: DataFrame) -> DataFrame:
+    """Distinct values of each type with their number, counted before the shuffle."""
+    return points.groupBy("sample_type", "target_cq").agg(F.count(F.lit(1)).alias("n"))
 
-    Equal values are counted before the shuffle. Ranks are summed up in two
-    levels, over bands of values and inside each band, so that no task has to
-    sort a whole sample type.
+
+def _ranked_values(counted: DataFrame) -> DataFrame:
+    """The distinct values with the ranks [start, end) they take within their type.
+
+    Ranks are summed up in two levels, over bands of values and inside each band,
+    so that no task has to sort a whole sample type.
     """
-    counted = points.groupBy("sample_type", "target_cq").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.withColumn("band", F.floor(F.col("target_cq") * _BANDS_PER_CYCLE))
+    banded = counted.withColumn("band", F.floor(F.col("target_cq") * _BANDS_PER_CYCLE))
     by_type = Window.partitionBy("sample_type")
     earlier = by_type.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     bands = (
-        counted.groupBy("sample_type", "band")
+        banded.groupBy("sample_type", "band")
         .agg(F.sum("n").alias("in_band"))
         .select(
             "sample_type",
@@ -37,9 +40,11 @@ def _ranked_values(points: DataFrame) -> DataFrame:
     )
     in_band = Window.partitionBy("sample_type", "band").orderBy("target_cq")
     upto = F.sum("n").over(in_band.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Every band is there, so the left join drops nothing; an inner one would add
+    # a filter below the counts and keep Spark from computing them only once.
     return (
-        counted.withColumn("upto", upto)
-        .join(bands, ["sample_type", "band"])
+        banded.withColumn("upto", upto)
+        .join(bands, ["sample_type", "band"], "left")
         .select(
             "sample_type",
             "target_cq",
@@ -61,14 +66,14 @@ def _quartiles(ranked: DataFrame) -> DataFrame:
     for name, share in _QUARTILES.items():
         at = (F.col("total") - 1) * F.lit(share)
         columns += [_value_at(F.floor(at)).alias(f"{name}_low"), _value_at(F.ceil(at)).alias(f"{name}_high")]
-    found = ranked.groupBy("sample_type").agg(F.max("total").alias("n"), *columns)
+    found = ranked.groupBy("sample_type").agg(F.max("total").alias("total"), *columns)
 
     def between(name: str, share: float) -> Column:
-        at = (F.col("n") - 1) * F.lit(share)
+        at = (F.col("total") - 1) * F.lit(share)
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         return (low + (high - low) * (at - F.floor(at))).alias(name)
 
-    return found.select("sample_type", "n", *[between(*q) for q in _QUARTILES.items()])
+    return found.select("sample_type", *[between(*q) for q in _QUARTILES.items()])
 
 
 def cq_box_stats(wells: DataFrame) -> DataFrame:
@@ -76,15 +81,15 @@ def cq_box_stats(wells: DataFrame) -> DataFrame:
 
     Whiskers end at the farthest values within 1.5 times the quartile distance.
     """
-    ranked = _ranked_values(with_target_cq(wells).filter(F.col("sample_type").isNotNull()))
-    quartiles = _quartiles(ranked)
+    counted = _counted_values(with_target_cq(wells).filter(F.col("sample_type").isNotNull()))
+    quartiles = _quartiles(_ranked_values(counted))
     reach = _WHISKER_REACH * (F.col("q3") - F.col("q1"))
     value = F.col("target_cq")
     ends = (
-        ranked.select("sample_type", "target_cq")
-        .join(quartiles, "sample_type")
-        .groupBy("sample_type", "n", "q1", "median", "q3")
+        counted.join(quartiles, "sample_type")
+        .groupBy("sample_type", "q1", "median", "q3")
         .agg(
+            F.sum("n").alias("n"),
             F.min(F.when(value >= F.col("q1") - reach, value)).alias("low"),
             F.max(F.when(value <= F.col("q3") + reach, value)).alias("high"),
         )

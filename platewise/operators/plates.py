@@ -14,21 +14,23 @@ _CELL = ["run_id", "plate_row", "plate_col"]
 
 def well_position(wells: DataFrame) -> DataFrame:
     """Add the plate row letter, the column number and whether the plate has that place."""
-    letter, number = plate.plate_letter(F.col("well")), plate.plate_number(F.col("well"))
-    return (
-        wells.withColumn("plate_row", letter)
-        .withColumn("plate_col", number)
-        .withColumn("on_plate", plate.on_plate(F.col("plate_row"), F.col("plate_col")))
+    well = F.col("well")
+    return wells.withColumns(
+        {
+            "plate_row": plate.plate_letter(well),
+            "plate_col": plate.plate_number(well),
+            "on_plate": plate.on_plate(well),
+        }
     )
 
 
 def placed_wells(wells: DataFrame) -> DataFrame:
-    return well_position(wells).filter("on_plate").drop("on_plate")
+    return well_position(wells.filter(plate.on_plate(F.col("well"))))
 
 
 def off_plate_wells(wells: DataFrame) -> DataFrame:
     """Wells the grids leave out: no position, or one outside A1 to H12."""
-    return well_position(wells).filter("not on_plate").select("run_id", "row_idx", "well")
+    return wells.filter(~plate.on_plate(F.col("well"))).select("run_id", "row_idx", "well")
 
 
 def plate_order(wells: DataFrame) -> DataFrame:

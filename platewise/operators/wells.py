@@ -68,10 +68,7 @@ def wells_from_sheet_rows(sheet_rows: DataFrame) -> DataFrame:
     """
     cleaned = clean_wells(workbooks.results_with_run_info(sheet_rows))
     order = Window.partitionBy("path", "sample_type").orderBy("row_idx")
-    # Blank rows below the results are gone by now, so count positions anew.
-    position = Window.partitionBy("path").orderBy("row_idx")
     return (
         cleaned.withColumn("replicate", F.row_number().over(order))
-        .withColumn("row_idx", F.row_number().over(position) - 1)
         .select(*[F.col(f.name).cast(f.dataType) for f in WELLS])
     )
