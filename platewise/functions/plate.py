@@ -24,6 +24,11 @@ def plate_number(well: Column) -> Column:
     return F.nullif(F.regexp_extract(strip(well), _POSITION, 2), F.lit("")).try_cast("int")
 
 
+def has_position(well: Column) -> Column:
+    """Does the name start with a plate position, inside the plate or not?"""
+    return F.coalesce(strip(well).rlike(_POSITION), F.lit(False))
+
+
 def on_plate(well: Column) -> Column:
     """Is the position one of A1 to H12? One match, so it is cheap as a filter."""
     return F.coalesce(strip(well).rlike(_ON_PLATE), F.lit(False))

@@ -14,7 +14,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
 def strip(text: Column) -> Column:
@@ -33,8 +33,7 @@ def blank_to_null(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Text to double; anything that is no plain number becomes NULL."""
-    trimmed = strip(text)
-    return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
+    return F.regexp_extract(strip(text), _NUMBER, 0).try_cast("double")
 
 
 def nan_to_null(value: Column) -> Column:

@@ -42,8 +42,7 @@ def cq_by_plate_row(annotated: DataFrame) -> DataFrame:
     """
     spread = (F.col("plate_col") - 6.5) / float(PLATE_COLUMNS) * 0.76
     return (
-        well_position(with_target_cq(annotated))
-        .filter(F.col("plate_row").isNotNull() & F.col("plate_col").isNotNull())
+        well_position(with_target_cq(annotated).filter(plate.has_position(F.col("well"))))
         .select(
             "run_id",
             "well",

@@ -39,22 +39,31 @@ def _mean_and_sd(name: str) -> list[Column]:
 
 def sample_type_stats(wells: DataFrame) -> DataFrame:
     """Counts, positivity and Cq statistics of the sample wells per sample type."""
-    positive = is_positive(F.col("result"))
     return (
         sample_wells(wells)
         .filter(F.col("sample_type").isNotNull())
         .groupBy("sample_type")
         .agg(
             F.count("well").alias("n_wells"),
-            count_where(positive).alias("n_positive"),
-            count_where(~positive).alias("n_negative"),
+            count_where(is_positive(F.col("result"))).alias("n_positive"),
+            F.count(F.lit(1)).alias("n_rows"),
             F.count("target_cq").alias("n_target_cq"),
             *_mean_and_sd("target_cq"),
             round_even(F.min("target_cq"), 3).alias("min_target_cq"),
             round_even(F.max("target_cq"), 3).alias("max_target_cq"),
             *_mean_and_sd("ic_cq"),
         )
-        .withColumn("positivity_rate_pct", round_even(percent(F.col("n_positive"), F.col("n_wells")), 1))
+        .select(
+            "sample_type",
+            "n_wells",
+            "n_positive",
+            (F.col("n_rows") - F.col("n_positive")).alias("n_negative"),
+            "n_target_cq",
+            *[f"{s}_target_cq" for s in ("mean", "sd", "min", "max")],
+            "mean_ic_cq",
+            "sd_ic_cq",
+            round_even(percent(F.col("n_positive"), F.col("n_wells")), 1).alias("positivity_rate_pct"),
+        )
         .orderBy("sample_type")
     )
 

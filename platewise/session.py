@@ -19,6 +19,9 @@ DEFAULTS = {
     # A run may hold a large share of all wells: split its join partitions even
     # where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles a method above 8000 bytes; such a stage is faster in
+    # the form that splits its expressions into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

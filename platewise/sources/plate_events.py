@@ -19,9 +19,12 @@ cloudpickle.register_pickle_by_value(xlsx_encode)
 
 WELLS_PER_RUN = 96
 
+# A given schema spares the job that would look it up in the files.
+_EVENTS = "event_id bigint, event_type string, value double, props string"
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def _run_id(run_no: Column) -> Column:
@@ -68,12 +71,12 @@ def raw_results(source: DataFrame) -> DataFrame:
         .when(kind == "purchase", " positive ")
         .otherwise("Negative")
     )
-    measured = (pos == 94) | F.col("result").isin("Positive", " positive ")
-    cq = F.lit(20.0) + (F.col("cents") % 2000) / F.lit(100.0)
+    cq = (F.lit(20.0) + (F.col("cents") % 2000) / F.lit(100.0)).cast("string")
     target = (
-        F.when((pos == 95) | F.col("result").isNull(), F.lit(None))
-        .when(F.col("result") == "Inhibition", "N/A")
-        .when(measured, cq.cast("string"))
+        F.when(pos == 94, cq)
+        .when((pos == 95) | (k < 3), F.lit(None))
+        .when(k < 8, "N/A")
+        .when(kind.isin("click", "purchase"), cq)
     )
     ic = (
         F.when((run_digit == 7) & (pos > 1), F.lit(None))
@@ -81,21 +84,17 @@ def raw_results(source: DataFrame) -> DataFrame:
         .when(k == 99, F.lit(36.0))
         .otherwise(F.lit(28.0) + (k - 50) / F.lit(100.0))
     )
-    return (
-        _numbered(source)
-        .withColumn("result", result)
-        .select(
-            "run_no",
-            "run_id",
-            F.col("pos").alias("row_idx"),
-            well.alias("well"),
-            content.alias("content"),
-            label.alias("sample_label"),
-            target.alias("target_cq"),
-            ic.alias("ic_cq"),
-            F.lit(None).cast("string").alias("sq"),
-            "result",
-        )
+    return _numbered(source).select(
+        "run_no",
+        "run_id",
+        F.col("pos").alias("row_idx"),
+        well.alias("well"),
+        content.alias("content"),
+        label.alias("sample_label"),
+        target.alias("target_cq"),
+        ic.alias("ic_cq"),
+        F.lit(None).cast("string").alias("sq"),
+        result.alias("result"),
     )
 
 

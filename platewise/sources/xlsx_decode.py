@@ -14,6 +14,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 
 import pyarrow as pa
 
@@ -138,13 +139,13 @@ def _number_text(text: str) -> str:
     return repr(number)
 
 
-def _cell_text(cell: ET.Element, strings: list[str], dates: set[int], from_1904: bool) -> str | None:
+def _cell_text(cell: ET.Element, ns: str, strings: list[str], dates: set[int], from_1904: bool) -> str | None:
     kind = cell.get("t", "n")
-    child = {_local(e.tag): e for e in cell}
     if kind == "inlineStr":
-        return _shown_text(child["is"]) if "is" in child else None
-    raw = child["v"].text if "v" in child else None
-    if raw is None or kind == "e":
+        item = cell.find(ns + "is")
+        return None if item is None else _shown_text(item)
+    raw = cell.findtext(ns + "v")
+    if not raw or kind == "e":
         return None
     if kind == "s":
         return strings[int(raw)]
@@ -154,17 +155,17 @@ def _cell_text(cell: ET.Element, strings: list[str], dates: set[int], from_1904:
         return "True" if raw.strip() in ("1", "true") else "False"
     if kind == "d":
         return raw.replace("T", " ")
-    if int(cell.get("s", "0")) in dates:
+    style = cell.get("s")
+    if style is not None and int(style) in dates:
         return _date_text(float(raw), from_1904)
     return _number_text(raw)
 
 
-def _column_index(reference: str) -> int:
+@lru_cache(maxsize=1024)
+def _column_index(letters: str) -> int:
     index = 0
-    for char in reference:
-        if not char.isalpha():
-            break
-        index = index * 26 + ord(char.upper()) - 64
+    for char in letters.upper():
+        index = index * 26 + ord(char) - 64
     return index - 1
 
 
@@ -173,16 +174,22 @@ def _grid(parts: _Parts, part_name: str, *cell_args) -> Iterator[tuple[int, list
     row_idx = -1
     with parts.open(part_name) as part:
         for _, element in ET.iterparse(part):
-            if _local(element.tag) != "row":
+            if element.tag[-3:] != "row":
                 continue
+            ns = element.tag[:-3]
+            cell_tag = ns + "c"
             row_idx = int(element.get("r")) - 1 if element.get("r") else row_idx + 1
             values: list[str | None] = []
             for cell in element:
-                at = _column_index(cell.get("r")) if cell.get("r") else len(values)
-                values.extend([None] * (at + 1 - len(values)))
-                values[at] = _cell_text(cell, *cell_args) or None
+                if cell.tag != cell_tag:
+                    continue
+                reference = cell.get("r")
+                at = _column_index(reference.rstrip("0123456789")) if reference else len(values)
+                while len(values) <= at:
+                    values.append(None)
+                values[at] = _cell_text(cell, ns, *cell_args) or None
             element.clear()
-            if any(v is not None for v in values):
+            if any(values):
                 yield row_idx, values
 
 
