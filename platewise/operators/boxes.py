@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.functions.skew import join_side
 from platewise.functions.text import stable
 from platewise.operators.stats import with_target_cq
 
@@ -86,7 +87,7 @@ def cq_box_stats(wells: DataFrame) -> DataFrame:
     reach = _WHISKER_REACH * (F.col("q3") - F.col("q1"))
     value = F.col("target_cq")
     ends = (
-        counted.join(quartiles, "sample_type")
+        counted.join(join_side(quartiles), "sample_type")
         .groupBy("sample_type", "q1", "median", "q3")
         .agg(
             F.sum("n").alias("n"),

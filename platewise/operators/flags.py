@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.functions.skew import join_side
 from platewise.functions.text import fixed, is_borderline
 from platewise.schema import (
     BORDERLINE_REASON,
@@ -51,7 +52,8 @@ def ic_outlier_flags(wells: DataFrame) -> DataFrame:
     """Sample wells whose internal control is over 2 SD off the mean of their run.
 
     Statistics are combined before their shuffle and joined back, rather than
-    taken over a window, so that no single task has to hold a whole run.
+    taken over a window, so that no single task has to hold a whole run: adaptive
+    execution splits the join where a run is hot.
     """
     measured = wells.filter(~F.col("is_control") & F.col("ic_cq").isNotNull())
     far = F.abs(F.col("ic_cq") - F.col("ic_mean")) > IC_SD_LIMIT * F.col("ic_sd")
@@ -66,7 +68,7 @@ def ic_outlier_flags(wells: DataFrame) -> DataFrame:
     )
     return (
         measured.select("run_id", "well", "sample_type", "row_idx", "ic_cq")
-        .join(ic_run_stats(wells), "run_id")
+        .join(join_side(ic_run_stats(wells)), "run_id")
         .filter(far)
         .withColumn("flag_reason", reason)
         .withColumn("kind", F.lit(1))
@@ -111,7 +113,7 @@ def flag_texts(flags: DataFrame) -> DataFrame:
 
 def annotate_wells(wells: DataFrame, flags: DataFrame) -> DataFrame:
     """Add ``qc_flag`` to every row of a flagged (run, well), '' elsewhere."""
-    return wells.join(flag_texts(flags), ["run_id", "well"], "left").withColumn(
+    return wells.join(join_side(flag_texts(flags)), ["run_id", "well"], "left").withColumn(
         "qc_flag", F.coalesce("qc_flag", F.lit(""))
     )
 
@@ -123,7 +125,7 @@ def ic_failed_wells(flags: DataFrame) -> DataFrame:
 
 def mark_ic_failures(wells: DataFrame, flags: DataFrame) -> DataFrame:
     """Add ``ic_failed``: is the (run, well) among the internal control failures?"""
-    failed = ic_failed_wells(flags).withColumn("ic_failed", F.lit(True))
+    failed = join_side(ic_failed_wells(flags)).withColumn("ic_failed", F.lit(True))
     return wells.join(failed, ["run_id", "well"], "left").withColumn(
         "ic_failed", F.coalesce("ic_failed", F.lit(False))
     )

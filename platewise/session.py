@@ -22,6 +22,9 @@ DEFAULTS = {
     # The JVM never compiles a method above 8000 bytes; such a stage is faster in
     # the form that splits its expressions into small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the calling line of every column expression doubles the time to
+    # build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

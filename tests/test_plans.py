@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from platewise.operators import boxes, flags, plates, runs, stats, wells as wells_ops
 from platewise.plans import catalog
@@ -88,3 +89,37 @@ def test_box_statistics_count_values_once(stored, unhinted):
     text = df._jdf.queryExecution().executedPlan().toString()
     final = text.split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1
+
+
+def test_a_hot_run_is_split_at_run_time(spark, unhinted, tmp_path):
+    """A run with a third of all wells does not end up in one task of the join."""
+    hot = F.col("id") % 3 == 0
+    folder = str(tmp_path / "w")
+    spark.range(0, 60000, 1, 8).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("run_"), (F.col("id") % 600).cast("string"))).alias("run_id"),
+        F.concat(F.lit("A"), F.col("id").cast("string")).alias("well"),
+        F.lit("X").alias("sample_type"),
+        (28 + F.randn(2)).alias("ic_cq"),
+        F.lit(False).alias("is_control"),
+        F.col("id").cast("int").alias("row_idx"),
+    ).write.parquet(folder)
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        for operator in (
+            flags.ic_outlier_flags,
+            lambda w: flags.flag_texts(flags.flag_rows(w.withColumn("target_cq", F.lit(36.0)))),
+        ):
+            df = operator(spark.read.parquet(folder))
+            df.collect()
+            assert "SortMergeJoin(skew=true)" in plan(df).split("== Initial Plan ==")[0]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
