@@ -13,7 +13,8 @@ BLOCK_ROWS = 65536
 def running_number(
     df: DataFrame, keys: Sequence[str], order: str, name: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Number the rows of each group from 1 in the order of the integer ``order``.
+    """Number the rows of each group from 1 in the order of the integer ``order``,
+    which is unique within a group.
 
     A plain window would put one whole group into one task. Here a group is cut
     into blocks of the order column: rows are numbered inside their block, and

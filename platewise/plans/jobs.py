@@ -58,8 +58,11 @@ def write_outputs(spark: SparkSession, wells: DataFrame, out: str, fmt: str = "p
         "control_statistics": stats.control_stats(wells),
         "interrun_cv": runs.interrun_cv(wells),
     }.items():
+        # A handful of rows: kept so that the test and the write compute them once.
         kept = small.persist()
-        if not kept.isEmpty():
+        if kept.isEmpty():
+            kept.unpersist()
+        else:
             tables[name] = kept
     for name, table in tables.items():
         write_table(table, f"{out}/{name}", fmt)

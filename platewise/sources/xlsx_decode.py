@@ -14,7 +14,6 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
-from functools import lru_cache
 
 import pyarrow as pa
 
@@ -161,7 +160,6 @@ def _cell_text(cell: ET.Element, ns: str, strings: list[str], dates: set[int], f
     return _number_text(raw)
 
 
-@lru_cache(maxsize=1024)
 def _column_index(letters: str) -> int:
     index = 0
     for char in letters.upper():
@@ -172,6 +170,7 @@ def _column_index(letters: str) -> int:
 def _grid(parts: _Parts, part_name: str, *cell_args) -> Iterator[tuple[int, list[str | None]]]:
     """Non-empty rows of a sheet, read as a stream."""
     row_idx = -1
+    known: dict[str, int] = {}
     with parts.open(part_name) as part:
         for _, element in ET.iterparse(part):
             if element.tag[-3:] != "row":
@@ -183,8 +182,10 @@ def _grid(parts: _Parts, part_name: str, *cell_args) -> Iterator[tuple[int, list
             for cell in element:
                 if cell.tag != cell_tag:
                     continue
-                reference = cell.get("r")
-                at = _column_index(reference.rstrip("0123456789")) if reference else len(values)
+                letters = (cell.get("r") or "").rstrip("0123456789")
+                if letters and letters not in known:
+                    known[letters] = _column_index(letters)
+                at = known.get(letters, len(values))
                 while len(values) <= at:
                     values.append(None)
                 values[at] = _cell_text(cell, ns, *cell_args) or None

@@ -1,12 +1,15 @@
 """Reading spreadsheet files: layouts, odd files, and files that cannot be used."""
 
 import io
+import subprocess
+import sys
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 
 from platewise.operators.wells import wells_from_sheet_rows
-from platewise.sources import workbooks, xlsx_decode
+from platewise.sources import plate_events, workbooks, xlsx_decode
 from platewise.sources.xlsx_encode import encode
 
 HEADER = ["Well", "Content", "Sample", "Cq", "I.C. Cq", "SQ", "Result"]
@@ -161,3 +164,9 @@ def test_cell_types():
         (None, None),
     ]
     assert {r["error"] for r in rows} == {None}
+
+
+@pytest.mark.parametrize("function", [xlsx_decode.decode_batches, plate_events.xlsx_encode.encode_file])
+def test_workers_need_no_installed_package(function, tmp_path):
+    code = "import sys, pickle; pickle.load(sys.stdin.buffer); assert 'platewise' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(function), cwd=tmp_path, check=True)
