@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import packing, token_files
+from platewise.llm import packing, simhash, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     }
 
 
