@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import packing, simhash, substring_dedup, token_files
+from platewise.llm import license_scan, packing, quality_rules, simhash, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_simhash": simhash.op2_simhash,
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op9_license_scan": license_scan.op9_license_scan,
     }
 
 
