@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import license_scan, packing, quality_rules, simhash, substring_dedup, token_files
+from platewise.llm import decontamination, license_scan, packing, quality_rules, simhash, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_license_scan": license_scan.op9_license_scan,
     }
 
