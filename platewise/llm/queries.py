@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import decontamination, license_scan, packing, quality_rules, simhash, substring_dedup, token_files
+from platewise.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    packing,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_language_id": language_id.op7_language_id,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_license_scan": license_scan.op9_license_scan,
     }
