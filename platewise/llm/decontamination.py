@@ -40,7 +40,7 @@ from platewise.llm.common import (
     table,
     with_columns,
 )
-from platewise.llm.words import ALNUM, Words, covered
+from platewise.llm.words import ALNUM, Words, covered, without
 
 WINDOW_WORDS = 10
 SHARD_BYTES = 4 << 20
@@ -296,6 +296,22 @@ def find_leaks(
     return found
 
 
+def without_leaks(found: DataFrame) -> DataFrame:
+    """Rows of ``find_leaks`` with the spans of hit words cut out of the text."""
+    cut = partial(_cut, schema=arrow_schema(found.schema))
+    return importable(found).mapInArrow(cut, found.schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, spans in enumerate(batch.column("removal").to_pylist()):
+            if spans:
+                runs = [(s["begin"], s["end"]) for s in spans]
+                texts[i] = without(texts[i].encode(), runs, ALNUM).decode()
+        yield replaced(batch, schema, text=texts)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from platewise.llm import (
     decontamination,
+    html_extraction,
     language_id,
     license_scan,
     packing,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7_language_id,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_license_scan": license_scan.op9_license_scan,
+        "op10_html_extraction": html_extraction.op10_html_extraction,
     }
 
 

@@ -45,7 +45,7 @@ from platewise.llm.common import (
     slices,
     with_columns,
 )
-from platewise.llm.words import Words, covered, run_hashes
+from platewise.llm.words import Words, covered, run_hashes, without
 
 WINDOW_WORDS = 35
 PHRASE_WORDS = 8
@@ -274,7 +274,7 @@ def _remove(
             own = gone[a:b]
             steps = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
             runs = steps.reshape(-1, 2)
-            kept.append(without(text, runs) if len(runs) else text)
+            kept.append(without(text, runs.tolist()) if len(runs) else text)
             spans.append([{"begin": int(x), "end": int(y)} for x, y in runs])
             n_removed.append(int(own.sum()))
         null = batch.column("text").is_null().to_pylist()
@@ -288,18 +288,6 @@ def _remove(
         )
 
 
-def without(text: bytes, runs: np.ndarray) -> bytes:
-    """The text without the words of ``runs``, each cut up to the next word that stays."""
-    raw = np.frombuffer(text, np.uint8)
-    blank = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13))])
-    starts = np.append(np.flatnonzero(blank[:-1] & ~blank[1:]), len(text))
-    out, at = [], 0
-    for begin, end in runs.tolist():
-        out.append(text[at : starts[begin]])
-        at = starts[end]
-    return b"".join([*out, text[at:]])
-
-
 def remove_repeats(
     docs: DataFrame,
     window: int = WINDOW_WORDS,

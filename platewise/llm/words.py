@@ -119,3 +119,21 @@ def covered(length: int, starts: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, starts + n, -1)
     return np.cumsum(steps[:-1]) > 0
+
+
+#: Which bytes belong to words between ASCII white space.
+_VISIBLE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+
+
+def without(text: bytes, runs: list[tuple[int, int]], table: bytes | None = None) -> bytes:
+    """The text without the words of ``runs`` (begin, end), each run cut up to the next
+    word that stays. ``table`` as in ``Words.of``."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = _VISIBLE if table is None else np.frombuffer(table, np.uint8) != 32
+    word = np.concatenate([[False], inside[raw]])
+    starts = np.append(np.flatnonzero(~word[:-1] & word[1:]), len(text)).tolist()
+    out, at = [], 0
+    for begin, end in runs:
+        out.append(text[at : starts[begin]])
+        at = starts[end]
+    return b"".join([*out, text[at:]])
