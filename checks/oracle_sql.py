@@ -221,11 +221,10 @@ def _layout_columns() -> str:
 def _counts() -> str:
     """Rows of every written table."""
     sources = {
-        "wells": "wells",
         "qc_flags": "flags",
         "all_runs_combined": "wells",
         "summary_statistics": "stats",
-        "run_comparison": "(SELECT DISTINCT run_id FROM samples)",
+        "run_comparison": "(SELECT DISTINCT run_id, sample_type FROM samples)",
         "control_statistics": "(SELECT DISTINCT trim(content) FROM clean WHERE is_control)",
         "interrun_cv": "cv",
     }
@@ -270,6 +269,7 @@ def oracle_sql() -> dict[str, str]:
         "load_runs": wells,
         # a CSV file does not tell an empty text from an absent one
         "load_runs_csv": "SELECT * REPLACE (nullif(sample_label, '') AS sample_label) FROM wells",
+        "load_parsed_runs": "SELECT * REPLACE (nullif(sample_label, '') AS sample_label) FROM wells",
         "write_outputs": _counts(),
         "sample_type": "SELECT run_id, row_idx, sample_label, sample_type, sample_label_clean FROM clean",
         "is_control": "SELECT run_id, row_idx, content, is_control FROM clean",
@@ -354,10 +354,27 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN target_cq > 35 THEN 'borderline' END AS cq_status,
                    CASE WHEN f.well IS NOT NULL THEN 'ic_failure' END AS ic_status
             FROM wells w LEFT JOIN ic_failed f ON f.run_id = w.run_id AND f.well = w.well""",
+        "run_detail_display": """
+            SELECT w.run_id AS "Run ID", run_date AS "Run Date", assay_name AS "Assay Name",
+                   lot_number AS "Lot Number", extraction_lot AS "Extraction Lot", w.well AS "Well",
+                   content AS "Content", sample_label AS "Sample Label", sample_type AS "Sample Type",
+                   replicate AS "Replicate", target_cq AS "Target Cq", ic_cq AS "I_C_ Cq", result AS "Result",
+                   CASE WHEN lower(trim(result)) IN ('positive', 'negative', 'inhibition')
+                        THEN lower(trim(result)) END AS result_status,
+                   CASE WHEN target_cq > 35 THEN 'borderline' END AS cq_status,
+                   CASE WHEN f.well IS NOT NULL THEN 'ic_failure' END AS ic_status
+            FROM wells w LEFT JOIN ic_failed f ON f.run_id = w.run_id AND f.well = w.well""",
         "interrun_cv": "SELECT * FROM cv",
         "run_comparison_long": """
             SELECT run_id, sample_type, count(*) FILTER (is_positive) AS n_positive, count(*) AS n_wells
             FROM samples GROUP BY run_id, sample_type""",
+        "run_positivity_long": """
+            SELECT run_id, sample_type, round(100e0 * count(*) FILTER (is_positive) / count(*), 9) AS positivity_pct
+            FROM samples WHERE (SELECT count(DISTINCT run_id) FROM clean) >= 2 GROUP BY run_id, sample_type""",
+        "types_left_out": """
+            SELECT run_id, row_idx, sample_type FROM samples
+            WHERE sample_type NOT IN ('Auto_Neg', 'Lysis_1.25mL_Control', 'Lysis_5mL_Control', 'Manual_Neg',
+                                      'Manual_Pos', 'Unknown')""",
         "run_comparison": f"""
             SELECT run_id, {_wide("CAST(sum(CAST(is_positive AS INTEGER))", "sum_").replace(") AS", ") AS BIGINT) AS")},
                    {_wide("CAST(sum(1)", "count_").replace(") AS", ") AS BIGINT) AS")}

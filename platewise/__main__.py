@@ -1,6 +1,6 @@
 """Command line: ``python -m platewise <step> <input folder> <output folder>``.
 
-Steps: ``check`` and ``parse`` read spreadsheet exports; ``analyze`` reads parsed
+Steps: ``check`` and ``parse`` read spreadsheet exports and end with 1 if a file is unfit; ``analyze`` reads parsed
 wells; ``charts`` and ``report`` read the same wells and what ``analyze`` wrote.
 """
 
@@ -31,8 +31,8 @@ def main(argv: list[str] | None = None) -> int:
         report = jobs.check(spark, args.input, args.output)["structure_report"]
         return 0 if report.filter("not passed").isEmpty() else 1
     if args.step == "parse":
-        jobs.parse(spark, args.input, args.output, args.format)
-        return 0
+        _, all_used = jobs.parse(spark, args.input, args.output, args.format)
+        return 0 if all_used else 1
     if args.input_format == "parsed-csv":
         wells = load_parsed_files(spark, args.input)
     else:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +34,12 @@ def running_number(
         .filter(F.col(offset).isNotNull())
     )
     inside = Window.partitionBy(*keys, block).orderBy(order)
+    # Groups of a NULL key have offsets too.
+    renamed = offsets.select(*[F.col(c).alias(f"__{c}") for c in (*keys, block)], offset)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, block)]
     return (
         blocked.withColumn(name, F.row_number().over(inside))
-        .join(offsets, [*keys, block], "left")
+        .join(renamed, reduce(and_, same), "left")
         .withColumn(name, (F.col(name) + F.coalesce(F.col(offset), F.lit(0))).cast("int"))
         .select(*df.columns, name)
     )

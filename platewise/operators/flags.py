@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.skew import join_side
 from platewise.functions.text import fixed, is_borderline
 from platewise.schema import (
     BORDERLINE_REASON,
+    FLAG_HEADINGS,
     IC_MIN_VALUES,
     IC_REASON_MARK,
     IC_SD_LIMIT,
@@ -48,16 +49,8 @@ def ic_run_stats(wells: DataFrame) -> DataFrame:
     )
 
 
-def ic_outlier_flags(wells: DataFrame) -> DataFrame:
-    """Sample wells whose internal control is over 2 SD off the mean of their run.
-
-    Statistics are combined before their shuffle and joined back, rather than
-    taken over a window, so that no single task has to hold a whole run: adaptive
-    execution splits the join where a run is hot.
-    """
-    measured = wells.filter(~F.col("is_control") & F.col("ic_cq").isNotNull())
-    far = F.abs(F.col("ic_cq") - F.col("ic_mean")) > IC_SD_LIMIT * F.col("ic_sd")
-    reason = F.concat(
+def _ic_reason() -> Column:
+    return F.concat(
         F.lit("IC extraction failure: I.C. Cq="),
         fixed(F.col("ic_cq"), 2),
         F.lit(" (plate mean="),
@@ -66,19 +59,49 @@ def ic_outlier_flags(wells: DataFrame) -> DataFrame:
         fixed(F.col("ic_sd"), 2),
         F.lit(")"),
     )
+
+
+def _is_ic_outlier() -> Column:
+    return F.abs(F.col("ic_cq") - F.col("ic_mean")) > IC_SD_LIMIT * F.col("ic_sd")
+
+
+def ic_outlier_flags(wells: DataFrame) -> DataFrame:
+    """Sample wells whose internal control is over 2 SD off the mean of their run.
+
+    Statistics are combined before their shuffle and joined back, rather than
+    taken over a window, so that no single task has to hold a whole run: adaptive
+    execution splits the join where a run is hot.
+    """
+    measured = wells.filter(~F.col("is_control") & F.col("ic_cq").isNotNull())
     return (
         measured.select("run_id", "well", "sample_type", "row_idx", "ic_cq")
         .join(join_side(ic_run_stats(wells)), "run_id")
-        .filter(far)
-        .withColumn("flag_reason", reason)
+        .filter(_is_ic_outlier())
+        .withColumn("flag_reason", _ic_reason())
         .withColumn("kind", F.lit(1))
         .select(*_FLAG_ROW)
     )
 
 
 def flag_rows(wells: DataFrame) -> DataFrame:
-    """All flags in internal form: borderline ones, then internal control ones."""
-    return borderline_flags(wells).unionByName(ic_outlier_flags(wells))
+    """All flags in internal form. The wells are read twice: for the statistics of the
+    runs, and for all their flags at once."""
+    judged = (
+        wells.filter(~F.col("is_control") & (F.col("ic_cq").isNotNull() | is_borderline(F.col("target_cq"))))
+        .select("run_id", "well", "sample_type", "row_idx", "target_cq", "ic_cq")
+        .join(join_side(ic_run_stats(wells)), "run_id", "left")
+    )
+
+    def flag(when: Column, reason: Column, kind: int) -> Column:
+        return F.when(when, F.struct(reason.alias("flag_reason"), F.lit(kind).alias("kind")))
+
+    found = F.array_compact(
+        F.array(
+            flag(is_borderline(F.col("target_cq")), F.lit(BORDERLINE_REASON), 0),
+            flag(_is_ic_outlier(), _ic_reason(), 1),
+        )
+    )
+    return judged.select("run_id", "well", "sample_type", "row_idx", F.inline(found)).select(*_FLAG_ROW)
 
 
 def qc_flags(flags: DataFrame) -> DataFrame:
@@ -148,4 +171,4 @@ def flag_reason_counts(flags: DataFrame) -> DataFrame:
 
 
 def flags_display(flags: DataFrame) -> DataFrame:
-    return qc_flags(flags).toDF("Run ID", "Well", "Sample Type", "Flag Reason")
+    return qc_flags(flags).withColumnsRenamed(FLAG_HEADINGS)

@@ -25,18 +25,37 @@ def run_comparison_long(wells: DataFrame) -> DataFrame:
     )
 
 
-def sample_types_of(wells: DataFrame) -> list[str]:
-    """Sorted sample types, read by a job of its own: the columns of a wide table."""
-    rows = sample_wells(wells).select("sample_type").distinct().orderBy("sample_type").collect()
-    return [r.sample_type for r in rows]
+def run_positivity_long(wells: DataFrame) -> DataFrame:
+    """Positivity in per cent per run and sample type, if there are two runs or more."""
+    several = wells.agg((F.min("run_id") < F.max("run_id")).alias("several")).scalar()
+    share = stable(F.lit(100.0) * F.col("n_positive") / F.col("n_wells"))
+    return run_comparison_long(wells).filter(several).select("run_id", "sample_type", share.alias("positivity_pct"))
+
+
+def _check_names(sample_types: Sequence[str]) -> None:
+    """Sample types that cannot all be columns of one table raise an error."""
+    seen: dict[str, str] = {"run_id": "run_id"}
+    for name in sample_types:
+        if name is None:
+            raise ValueError("a sample type without a name cannot be a column")
+        if name.lower() in seen:
+            raise ValueError(f"columns {seen[name.lower()]!r} and {name!r} cannot be told apart")
+        seen[name.lower()] = name
+
+
+def left_out(wells: DataFrame, sample_types: Sequence[str]) -> DataFrame:
+    """Wells whose sample type is in no column of a wide table of ``sample_types``."""
+    return sample_wells(wells).filter(~F.col("sample_type").isin(*sample_types))
 
 
 def run_comparison(wells: DataFrame, sample_types: Sequence[str]) -> DataFrame:
     """One row per run: ``sum_<type>`` for all types, then ``count_<type>``.
 
-    A type without wells in the run is NULL. All columns come from one aggregate,
+    The caller names the types; ``left_out`` tells what they miss, and
+    ``run_comparison_long`` needs no such list. A type without wells in the run is NULL. All columns come from one aggregate,
     so there is one shuffle of one row per run and task.
     """
+    _check_names(sample_types)
     samples = sample_wells(wells)
     positive = is_positive(F.col("result"))
 
@@ -59,6 +78,7 @@ def run_positivity_matrix(wells: DataFrame, sample_types: Sequence[str]) -> Data
     Controls count as wells of a run here. Lowest and highest run id differ exactly
     if there are two, which needs no distinct count.
     """
+    _check_names(sample_types)
     several = wells.agg((F.min("run_id") < F.max("run_id")).alias("several")).scalar()
     share = F.when(is_positive(F.col("result")), 100.0).otherwise(0.0)
     return (

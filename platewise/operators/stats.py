@@ -14,7 +14,7 @@ from platewise.functions.text import (
     stable,
     strip,
 )
-from platewise.schema import BORDERLINE_CQ
+from platewise.schema import BORDERLINE_CQ, DETAIL_HEADINGS, STATS_HEADINGS
 
 
 def sample_wells(wells: DataFrame) -> DataFrame:
@@ -180,18 +180,7 @@ def dimension_lists(wells: DataFrame) -> DataFrame:
 
 def stats_display(stats: DataFrame) -> DataFrame:
     """Sample type statistics under their display names."""
-    names = {
-        "sample_type": "Sample Type",
-        "n_wells": "N Wells",
-        "n_positive": "N Positive",
-        "n_negative": "N Negative",
-        "positivity_rate_pct": "Positivity %",
-        "mean_target_cq": "Mean Target Cq",
-        "sd_target_cq": "SD Target Cq",
-        "mean_ic_cq": "Mean I.C. Cq",
-        "sd_ic_cq": "SD I.C. Cq",
-    }
-    return stats.select(*names).withColumnsRenamed(names)
+    return stats.select(*STATS_HEADINGS).withColumnsRenamed(STATS_HEADINGS)
 
 
 def stats_text(stats: DataFrame) -> DataFrame:
@@ -209,13 +198,14 @@ def stats_text(stats: DataFrame) -> DataFrame:
 def run_detail(marked: DataFrame) -> DataFrame:
     """Detail view of wells marked by ``flags.mark_ic_failures``, with a status per row."""
     word = F.lower(strip(F.col("result")))
-    columns = [
-        "run_id", "run_date", "assay_name", "lot_number", "extraction_lot", "well", "content",
-        "sample_label", "sample_type", "replicate", "target_cq", "ic_cq", "result",
-    ]
     return marked.select(
-        *columns,
+        *DETAIL_HEADINGS,
         F.when(word.isin("positive", "negative", "inhibition"), word).alias("result_status"),
         F.when(F.col("target_cq") > BORDERLINE_CQ, "borderline").alias("cq_status"),
         F.when(F.col("ic_failed"), "ic_failure").alias("ic_status"),
     )
+
+
+def run_detail_display(detail: DataFrame) -> DataFrame:
+    """The detail view under its display names; the status columns keep theirs."""
+    return detail.withColumnsRenamed(DETAIL_HEADINGS)

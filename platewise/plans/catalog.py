@@ -132,8 +132,7 @@ def _validate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = workbooks.structure_facts(laid_out(spark, sf_dir))
-    return workbooks.structure_report(facts, workbooks.structure_issues(facts))
+    return workbooks.structure_report(workbooks.structure_facts(laid_out(spark, sf_dir)))
 
 
 def _load_runs(fmt: str) -> Query:
@@ -145,6 +144,27 @@ def _load_runs(fmt: str) -> Query:
     return query
 
 
+def _load_parsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file per run, written and read back; every other run lacks columns."""
+    folder = f"{scratch_folder(spark)}/parsed"
+    base = full(spark, sf_dir).withColumn("odd", F.regexp_like("run_id", F.lit("[13579]$")))
+    names = [c for c in WELLS.names if c != "row_idx"]
+    blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    how = {"quoteAll": "true", "escape": '"', "nullValue": "", "emptyValue": "", **blanks}
+    for odd, columns in ((False, names), (True, [c for c in names if c not in ("sq", "assay_name", "is_control")])):
+        texts = [F.col(c).cast("string").alias(c) for c in columns]
+        line = F.to_csv(F.struct(*texts), how)
+        lines = F.sort_array(F.collect_list(F.struct("row_idx", line.alias("line"))))["line"]
+        (
+            base.filter(F.col("odd") == odd)
+            .groupBy("run_id")
+            .agg(F.concat_ws("\n", F.lit(",".join(columns)), lines).alias("value"))
+            .write.partitionBy("run_id")
+            .text(f"{folder}/{'odd' if odd else 'even'}")
+        )
+    return tables.load_parsed_files(spark, folder, "*.txt")
+
+
 def _write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all tables, read them back, and count their rows."""
     folder = scratch_folder(spark)
@@ -179,6 +199,7 @@ def queries() -> dict[str, Query]:
         "structure_report": _structure_report,
         "load_runs": _load_runs("parquet"),
         "load_runs_csv": _load_runs("csv"),
+        "load_parsed_runs": _load_parsed_runs,
         "write_outputs": _write_outputs,
         # row-wise steps
         "sample_type": _select(lambda w: w, "sample_label", "sample_type", "sample_label_clean"),
@@ -217,9 +238,12 @@ def queries() -> dict[str, Query]:
         "stats_display": lambda s, d: _dotless(_on_stats(stats.stats_display)(s, d)),
         "stats_text": _on_stats(stats.stats_text),
         "run_detail": _run_detail,
+        "run_detail_display": lambda s, d: _dotless(stats.run_detail_display(_run_detail(s, d))),
         # runs
         "interrun_cv": _on_clean(runs.interrun_cv),
         "run_comparison_long": _on_clean(runs.run_comparison_long),
+        "run_positivity_long": _on_clean(runs.run_positivity_long),
+        "types_left_out": lambda s, d: runs.left_out(clean(s, d), SAMPLE_TYPES).select("run_id", "row_idx", "sample_type"),
         "run_comparison": _on_types(runs.run_comparison),
         "run_positivity_matrix": _on_types(runs.run_positivity_matrix),
         # plates

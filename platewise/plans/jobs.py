@@ -11,48 +11,60 @@ from pyspark.sql import DataFrame, SparkSession
 from platewise.operators import boxes, feeds, flags, plates, runs, stats
 from platewise.operators.wells import wells_from_sheet_rows
 from platewise.sources import workbooks
-from platewise.sources.tables import load_wells, write_table, write_wells
+from platewise.sources.tables import load_wells, remove_table, write_table, write_wells
 
 
 def decode(spark: SparkSession, exports: str, out: str) -> DataFrame:
     """Decode all exports once; later steps read the written sheet rows."""
     folder = f"{out}/sheet_rows"
     write_table(workbooks.read_workbooks(spark, exports), folder)
-    return spark.read.parquet(folder)
+    rows = spark.read.parquet(folder)
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no .xlsx files below {exports}")
+    return rows
+
+
+def facts_of(spark: SparkSession, sheet_rows: DataFrame, out: str) -> DataFrame:
+    """One row per file, written first: issues and report then read that small table."""
+    write_table(workbooks.structure_facts(sheet_rows), f"{out}/structure_facts")
+    return spark.read.parquet(f"{out}/structure_facts")
 
 
 def check(spark: SparkSession, exports: str, out: str) -> dict[str, DataFrame]:
     """Validate the exports without parsing them: issues and a verdict per file."""
-    facts = workbooks.structure_facts(decode(spark, exports, out))
-    issues = workbooks.structure_issues(facts)
-    write_table(issues, f"{out}/issues")
-    issues = spark.read.parquet(f"{out}/issues")
-    write_table(workbooks.structure_report(facts, issues), f"{out}/structure_report")
-    return {"issues": issues, "structure_report": spark.read.parquet(f"{out}/structure_report")}
+    facts = facts_of(spark, decode(spark, exports, out), out)
+    tables = {"issues": workbooks.structure_issues(facts), "structure_report": workbooks.structure_report(facts)}
+    for name, table in tables.items():
+        write_table(table, f"{out}/{name}")
+    return {name: spark.read.parquet(f"{out}/{name}") for name in tables}
 
 
-def parse(spark: SparkSession, exports: str, out: str, fmt: str = "parquet") -> DataFrame:
-    """Exports to the table of wells, and the list of files that could not be used."""
+def parse(spark: SparkSession, exports: str, out: str, fmt: str = "parquet") -> tuple[DataFrame, bool]:
+    """Exports to the table of wells, and whether every file could be used; ``issues``
+    lists what is wrong with the others."""
     sheet_rows = decode(spark, exports, out)
     write_wells(wells_from_sheet_rows(sheet_rows), f"{out}/wells", fmt)
-    write_table(workbooks.structure_issues(workbooks.structure_facts(sheet_rows)), f"{out}/issues", fmt)
-    return load_wells(spark, f"{out}/wells", fmt)
+    issues = workbooks.structure_issues(facts_of(spark, sheet_rows, out))
+    write_table(issues, f"{out}/issues", fmt)
+    return load_wells(spark, f"{out}/wells", fmt), issues.filter("severity = 'CRITICAL'").isEmpty()
 
 
 def write_outputs(spark: SparkSession, wells: DataFrame, out: str, fmt: str = "parquet") -> list[str]:
     """Flags, annotated wells and the statistics tables; returns the tables written.
 
-    Control statistics and inter-run CV are written only if they have rows.
+    Runs are compared in long form: sample types are free texts, and as columns they
+    would have to pass the driver. Annotated wells are written in run order, so that
+    readers skip row groups by run. Control statistics and inter-run CV are written only
+    if they have rows; tables of an earlier call that this one leaves out are removed.
     """
     write_table(flags.flag_rows(wells), f"{out}/flag_rows")
     flagged = spark.read.parquet(f"{out}/flag_rows")
-    types = runs.sample_types_of(wells)
+    annotated = flags.annotate_wells(wells, flagged)
     tables = {
-        "wells": wells.sortWithinPartitions("run_id", "row_idx"),
-        "qc_flags": flags.qc_flags(flagged.orderBy(*flags.flag_order())),
-        "all_runs_combined": flags.annotate_wells(wells, flagged),
+        "qc_flags": flags.qc_flags(flagged.sortWithinPartitions(*flags.flag_order())),
+        "all_runs_combined": annotated.repartitionByRange("run_id").sortWithinPartitions("run_id", "row_idx"),
         "summary_statistics": stats.sample_type_stats(wells),
-        "run_comparison": runs.run_comparison(wells, types).orderBy("run_id"),
+        "run_comparison": runs.run_comparison_long(wells),
     }
     for name, small in {
         "control_statistics": stats.control_stats(wells),
@@ -62,6 +74,7 @@ def write_outputs(spark: SparkSession, wells: DataFrame, out: str, fmt: str = "p
         kept = small.persist()
         if kept.isEmpty():
             kept.unpersist()
+            remove_table(spark, f"{out}/{name}")
         else:
             tables[name] = kept
     for name, table in tables.items():
@@ -73,13 +86,12 @@ def write_outputs(spark: SparkSession, wells: DataFrame, out: str, fmt: str = "p
 def write_chart_tables(spark: SparkSession, wells: DataFrame, out: str, fmt: str = "parquet") -> list[str]:
     """The tables behind the charts. Reads the flags that ``write_outputs`` left."""
     flagged = spark.read.parquet(f"{out}/flag_rows")
-    types = runs.sample_types_of(wells)
     tables = {
         "positivity_bar": feeds.positivity_bar(stats.sample_type_stats(wells)),
         "cq_scatter": feeds.cq_scatter(wells),
         "plate_result_grid": plates.plate_result_grid(wells),
         "plate_cq_grid": plates.plate_cq_grid(wells),
-        "run_positivity_matrix": runs.run_positivity_matrix(wells, types),
+        "run_positivity": runs.run_positivity_long(wells),
         "cq_by_plate_row": feeds.cq_by_plate_row(flags.annotate_wells(wells, flagged)),
         "cq_by_sample_type": feeds.cq_by_sample_type(wells),
         "cq_box_stats": boxes.cq_box_stats(wells),
@@ -99,10 +111,10 @@ def write_report_tables(spark: SparkSession, wells: DataFrame, out: str, fmt: st
         "key_metrics": stats.key_metrics(wells, flagged),
         "stats_display": stats.stats_display(summary),
         "stats_text": stats.stats_text(summary),
-        "run_detail": stats.run_detail(flags.mark_ic_failures(wells, flagged)),
-        "flags_display": flags.flags_display(flagged.orderBy(*flags.flag_order())),
-        "plate_layout": plates.plate_layout(wells).orderBy("run_id", "plate_row"),
-        "parse_summary": stats.parse_summary(wells).orderBy("run_id"),
+        "run_detail": stats.run_detail_display(stats.run_detail(flags.mark_ic_failures(wells, flagged))),
+        "flags_display": flags.flags_display(flagged.sortWithinPartitions(*flags.flag_order())),
+        "plate_layout": plates.plate_layout(wells).sortWithinPartitions("run_id", "plate_row"),
+        "parse_summary": stats.parse_summary(wells).sortWithinPartitions("run_id"),
         "flag_reason_counts": flags.flag_reason_counts(flagged).orderBy(*flags.flag_order()),
     }
     for name, table in tables.items():

@@ -21,6 +21,7 @@ SHEET_ROWS = _struct(
     ("error", T.StringType()),
 )
 
+# Names of the columns of the tables.
 RUN_FIELDS = ["run_date", "assay_name", "lot_number", "extraction_lot"]
 
 RESULT_COLUMNS = ["well", "content", "sample_label", "target_cq", "ic_cq", "sq", "result"]
@@ -68,6 +69,39 @@ CV_LIMIT_PCT = 20.0
 PLATE_ROWS = "ABCDEFGH"
 PLATE_COLUMNS = 12
 HEADER_SCAN_ROWS = 30
+# Display names of the columns of report tables.
+STATS_HEADINGS = {
+    "sample_type": "Sample Type",
+    "n_wells": "N Wells",
+    "n_positive": "N Positive",
+    "n_negative": "N Negative",
+    "positivity_rate_pct": "Positivity %",
+    "mean_target_cq": "Mean Target Cq",
+    "sd_target_cq": "SD Target Cq",
+    "mean_ic_cq": "Mean I.C. Cq",
+    "sd_ic_cq": "SD I.C. Cq",
+}
+DETAIL_HEADINGS = {
+    "run_id": "Run ID",
+    "run_date": "Run Date",
+    "assay_name": "Assay Name",
+    "lot_number": "Lot Number",
+    "extraction_lot": "Extraction Lot",
+    "well": "Well",
+    "content": "Content",
+    "sample_label": "Sample Label",
+    "sample_type": "Sample Type",
+    "replicate": "Replicate",
+    "target_cq": "Target Cq",
+    "ic_cq": "I.C. Cq",
+    "result": "Result",
+}
+FLAG_HEADINGS = {
+    "run_id": "Run ID",
+    "well": "Well",
+    "sample_type": "Sample Type",
+    "flag_reason": "Flag Reason",
+}
 # Cell texts that spreadsheet readers for pandas take as missing.
 MISSING_WORDS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

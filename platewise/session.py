@@ -6,7 +6,6 @@ caller's DataFrames as they are.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,14 +38,7 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach.
-
-    It lies below the shared folder named in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/platewise-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="platewise-")
-    raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    """A fresh folder that every executor can reach: below ``spark.checkpoint.dir``, or
+    below the warehouse where that is not set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/platewise-{uuid.uuid4().hex}"

@@ -204,7 +204,12 @@ def sheet_rows(source: DataFrame) -> DataFrame:
         .select(path.alias("path"), F.explode(per_run).alias("r"))
         .select("path", "r.*")
     )
-    return wells.unionByName(others).withColumn("error", F.lit(None).cast("string"))
+    named = F.regexp_extract("path", r"([^/]+)\.xlsx$", 1)
+    return (
+        wells.unionByName(others)
+        .withColumn("error", F.lit(None).cast("string"))
+        .withColumn("run_id", named)
+    )
 
 
 def workbook_files(source: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.functions.text import nan_to_null, to_number
+from platewise.functions.text import is_control, nan_to_null, to_number
 from platewise.schema import RUN_FIELDS, WELLS
 
 # Keep blanks around texts and line breaks inside them; double a quote to escape it.
@@ -21,6 +22,9 @@ _CSV = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+#: Rows of a parsed file that a worker holds at a time.
+BATCH_ROWS = 4096
+
 _TEXT_NEVER_NULL = [*RUN_FIELDS, "sample_label_clean"]
 
 
@@ -31,25 +35,37 @@ def load_wells(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFr
     return _typed(spark.read.options(**_CSV, multiLine=True, enforceSchema=False).csv(folder))
 
 
-def load_parsed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Wells of all ``*_parsed.csv`` files, one file per run, joined up by column name.
+def load_parsed_files(spark: SparkSession, folder: str, pattern: str = "*_parsed.csv") -> DataFrame:
+    """Wells of all files of that name, one file per run, joined up by column name.
 
-    These files have no row number, and Spark gives none within a file, so each
-    file (one plate) is read as a whole on a worker. Columns may differ per file.
+    These files have no row number, and Spark gives none within a file, so a worker reads
+    each file (one plate) from its first row to its last and hands rows on in batches.
+    Columns may differ per file. A file that cannot be read ends the job with its name.
     """
     columns = [f.name for f in WELLS if f.name != "row_idx"]
     arrow = pa.schema([*[(c, pa.string()) for c in columns], ("row_idx", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                reader = csv.DictReader(io.StringIO(content.as_py().decode("utf-8-sig"), newline=""))
-                found = [{**{c: r.get(c) or None for c in columns}, "row_idx": i} for i, r in enumerate(reader)]
-                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                try:
+                    text = io.TextIOWrapper(io.BytesIO(content.as_py()), encoding="utf-8-sig", newline="")
+                    reader = csv.DictReader(text)
+                    named = ({**{c: r.get(c) or None for c in columns}, "row_idx": i} for i, r in enumerate(reader))
+                    while some := list(islice(named, BATCH_ROWS)):
+                        yield pa.RecordBatch.from_pylist(some, schema=arrow)
+                except (csv.Error, UnicodeDecodeError) as problem:
+                    raise ValueError(f"{path.as_py()} cannot be read: {problem}") from problem
 
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*_parsed.csv").load(folder).select("content")
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
+        .load(folder)
+        .select("path", "content")
     )
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no {pattern} below {folder}")
     schema = ", ".join([*[f"{c} string" for c in columns], "row_idx int"])
     return _typed(files.mapInArrow(rows, schema))
 
@@ -65,6 +81,10 @@ def _typed(text: DataFrame) -> DataFrame:
             return nan_to_null(to_number(value))
         if kind == "string":
             return F.coalesce(value, F.lit("")) if name in _TEXT_NEVER_NULL else value
+        if name == "is_control":
+            # An absent or unreadable mark must not take the well out of all statistics.
+            content = F.col("content") if "content" in present else F.lit(None).cast("string")
+            return F.coalesce(value.try_cast(kind), is_control(content))
         return value.try_cast(kind)
 
     return text.select(*[column(f).alias(f.name) for f in WELLS])
@@ -78,6 +98,12 @@ def write_table(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(folder)
 
 
+def remove_table(spark: SparkSession, folder: str) -> None:
+    """Remove a table of an earlier run, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_wells(wells: DataFrame, folder: str, fmt: str = "parquet") -> None:
     """Write the table of wells, each file in run order.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+import re
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -22,25 +22,30 @@ from platewise.sources import xlsx_decode
 # Ship the decoder with the tasks, so workers need no installed package.
 cloudpickle.register_pickle_by_value(xlsx_decode)
 
-MAX_UNPACKED_BYTES = 2 * 1024**3
 
-def read_workbooks(
-    spark: SparkSession, folder: str, max_unpacked_bytes: int = MAX_UNPACKED_BYTES
-) -> DataFrame:
-    """Sheet rows of all ``*.xlsx`` files below ``folder``."""
+
+def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sheet rows of all ``*.xlsx`` files below ``folder``, in any letter case."""
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.xlsx")
+        .option("pathGlobFilter", "*.[xX][lL][sS][xX]")
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    return decode_workbooks(files, max_unpacked_bytes)
+    return decode_workbooks(files, qualified(spark, folder))
+
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as the paths of its files begin; up to the first wildcard, if any."""
+    plain = re.split(r"/[^/]*[*?\[{]", folder, maxsplit=1)[0] or "/"
+    path = spark._jvm.org.apache.hadoop.fs.Path(plain)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
-def decode_workbooks(files: DataFrame, max_unpacked_bytes: int = MAX_UNPACKED_BYTES) -> DataFrame:
-    """Sheet rows of workbooks given as (path, content)."""
-    decode = partial(xlsx_decode.decode_batches, max_unpacked=max_unpacked_bytes)
-    return files.select("path", "content").mapInArrow(decode, SHEET_ROWS)
+
+def decode_workbooks(files: DataFrame, folder: str | None = None) -> DataFrame:
+    """Sheet rows of workbooks given as (path, content), with the run of each file."""
+    rows = files.select("path", "content").mapInArrow(xlsx_decode.decode_batches, SHEET_ROWS)
+    return rows.withColumn("run_id", run_id_of(F.col("path"), folder))
 
 
 def _by_file() -> WindowSpec:
@@ -52,9 +57,17 @@ def _by_file() -> WindowSpec:
     return Window.partitionBy("path")
 
 
-def run_id_of(path: Column) -> Column:
-    """File name without folder and extension."""
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+def run_id_of(path: Column, folder: str | None = None) -> Column:
+    """The path below ``folder`` without extension; the plain file name elsewhere.
+
+    Files of equal names in different folders are different runs, and a run keeps its
+    id when files are added.
+    """
+    name = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    if folder is None:
+        return name
+    below = F.substr(path, F.lit(len(folder) + 2))
+    return F.when(path.startswith(folder + "/"), F.regexp_replace(below, r"(?<=[^/])\.[^./]*$", "")).otherwise(name)
 
 
 def cells(sheet_rows: DataFrame) -> DataFrame:
@@ -63,7 +76,7 @@ def cells(sheet_rows: DataFrame) -> DataFrame:
         sheet_rows.filter(F.col("row_idx").isNotNull())
         .select(
             "path",
-            run_id_of(F.col("path")).alias("run_id"),
+            "run_id",
             "sheet_idx",
             "sheet_name",
             "row_idx",
@@ -82,13 +95,6 @@ def _column_position(target: str) -> Column:
     return F.array_position("words", F.lit(word)).cast("int")
 
 
-def _header_of(sheet: int) -> Column:
-    """First row of a sheet that names the wells, with the column positions it gives."""
-    here = (F.col("sheet_idx") == sheet) & F.col("has_well")
-    found = F.struct("row_idx", *[_column_position(c).alias(c) for c in RESULT_COLUMNS])
-    return F.min(F.when(here, found)).over(_by_file())
-
-
 def _error_where(condition: Column) -> Column:
     return F.max(F.when(condition, F.col("error"))).over(_by_file())
 
@@ -96,41 +102,40 @@ def _error_where(condition: Column) -> Column:
 def locate_tables(sheet_rows: DataFrame) -> DataFrame:
     """Sheet rows with what their whole workbook tells, in one pass by file.
 
-    Adds ``run_id``, ``n_sheets``, ``results_idx`` (the first of two sheets with
-    a cell ``well`` in its first 30 rows, else 0), ``run_info_idx`` (the other of
-    the two, NULL with one sheet), ``header`` (first header row of the results
+    Adds ``n_sheets``, ``results_idx`` (the first of two sheets with a cell ``well`` in its
+    first 30 rows; else the first sheet with one anywhere; else 0), ``run_info_idx`` (the
+    first other sheet, NULL with one sheet), ``header`` (first header row of the results
     sheet and the column positions in it) and ``file_error``.
     """
     near_top = (F.col("sheet_idx") < 2) & (F.col("row_idx") < HEADER_SCAN_ROWS) & F.col("has_well")
-    facts = (
+    of_results = F.col("sheet_idx") == F.col("results_idx")
+    header = F.struct("row_idx", *[_column_position(c).alias(c) for c in RESULT_COLUMNS])
+    return (
         sheet_rows.withColumn("values", F.transform("values", lambda v: F.when(~v.isin(MISSING_WORDS), v)))
         .withColumn("words", F.transform("values", folded))
         .withColumn("has_well", F.coalesce(F.array_contains("words", "well"), F.lit(False)))
         .withColumns(
             {
                 "n_sheets": F.coalesce(F.max("sheet_idx").over(_by_file()) + 1, F.lit(0)),
-                "found_idx": F.min(F.when(near_top, F.col("sheet_idx"))).over(_by_file()),
-                "header_0": _header_of(0),
-                "header_1": _header_of(1),
-                "error_0": _error_where(F.col("sheet_idx") == 0),
-                "error_1": _error_where(F.col("sheet_idx") == 1),
-                "book_error": _error_where(F.col("sheet_idx").isNull()),
+                "results_idx": F.coalesce(
+                    F.min(F.when(near_top, F.col("sheet_idx"))).over(_by_file()),
+                    F.min(F.when(F.col("has_well"), F.col("sheet_idx"))).over(_by_file()),
+                    F.lit(0),
+                ),
             }
         )
-    )
-    first = F.col("results_idx") == 0
-    return (
-        facts.withColumn("run_id", run_id_of(F.col("path")))
-        .withColumn("results_idx", F.coalesce("found_idx", F.lit(0)))
-        .withColumn("run_info_idx", F.when(F.col("n_sheets") >= 2, 1 - F.col("results_idx")))
-        .withColumn("header", F.when(first, F.col("header_0")).otherwise(F.col("header_1")))
-        .withColumn(
-            "file_error",
-            F.coalesce("book_error", F.when(first, F.col("error_0")).otherwise(F.col("error_1"))),
-        )
-        .drop(
-            "words", "has_well", "found_idx", "header_0", "header_1", "error_0", "error_1", "book_error"
+        .withColumns(
+            {
+                "run_info_idx": F.when(
+                    F.col("n_sheets") >= 2, F.when(F.col("results_idx") == 0, 1).otherwise(0)
+                ),
+                "header": F.min(F.when(of_results & F.col("has_well"), header)).over(_by_file()),
+                "file_error": F.coalesce(
+                    _error_where(F.col("sheet_idx").isNull()), _error_where(of_results)
+                ),
+            }
         )
+        .drop("words", "has_well")
     )
 
 
@@ -225,61 +230,44 @@ def structure_facts(sheet_rows: DataFrame) -> DataFrame:
     )
 
 
-def structure_issues(facts: DataFrame) -> DataFrame:
-    """Problems of each file as (path, run_id, severity, issue)."""
+def _issues(facts: DataFrame) -> DataFrame:
+    """Facts with the list of issues of each file. Files of one run id are counted over
+    that id; it is the file's own in all but the reported cases."""
 
-    def issue(when: Column, severity: str, text: Column) -> Column:
+    def issue(when: Column, severity: str, text: Column | str) -> Column:
+        text = F.lit(text) if isinstance(text, str) else text
         return F.when(when, F.struct(F.lit(severity).alias("severity"), text.alias("issue")))
 
     readable = F.col("file_error").isNull()
     usable = readable & (F.col("n_sheets") > 0) & F.col("has_header")
+    unread = F.concat(F.lit("Workbook cannot be read: "), F.col("file_error"))
     found = [
-        issue((F.col("file_error") == "no sheets"), "CRITICAL", F.lit("Workbook has no sheets.")),
-        issue(
-            (F.col("file_error") != "no sheets"),
-            "CRITICAL",
-            F.concat(F.lit("Workbook cannot be read: "), F.col("file_error")),
-        ),
-        issue(
-            readable & ~F.col("has_header"),
-            "CRITICAL",
-            F.lit("Could not locate header row containing 'Well'."),
-        ),
+        issue(F.col("file_error") == "no sheets", "CRITICAL", "Workbook has no sheets."),
+        issue(F.col("file_error") != "no sheets", "CRITICAL", unread),
+        issue(readable & ~F.col("has_header"), "CRITICAL", "Could not locate header row containing 'Well'."),
         issue(
             usable & F.col("run_info_idx").isNull(),
             "WARNING",
-            F.lit("Run Information sheet not found; metadata will be blank."),
+            "Run Information sheet not found; metadata will be blank.",
         ),
         *[
-            issue(
-                usable & ~F.col(f"has_{c}"),
-                "CRITICAL",
-                F.lit(f"Expected column '{c}' not found in results sheet."),
-            )
+            issue(usable & ~F.col(f"has_{c}"), "CRITICAL", f"Expected column '{c}' not found in results sheet.")
             for c in REQUIRED_COLUMNS
         ],
+        issue(F.col("files") > 1, "CRITICAL", "Run id is used by more than one file."),
     ]
-    own = facts.select("path", "run_id", F.explode(F.array_compact(F.array(*found))).alias("found")).select(
-        "path", "run_id", "found.severity", "found.issue"
-    )
-    shared = facts.groupBy("run_id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
-    twins = facts.join(shared, "run_id", "left_semi").select(
-        "path",
-        "run_id",
-        F.lit("CRITICAL").alias("severity"),
-        F.lit("Run id is used by more than one file.").alias("issue"),
-    )
-    return own.unionByName(twins)
+    files = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
+    return facts.withColumn("files", files).withColumn("issues", F.array_compact(F.array(*found)))
+
+
+def structure_issues(facts: DataFrame) -> DataFrame:
+    """Problems of each file as (path, run_id, severity, issue)."""
+    return _issues(facts).select("path", "run_id", F.inline("issues"))
 
 
-def structure_report(facts: DataFrame, issues: DataFrame) -> DataFrame:
+def structure_report(facts: DataFrame) -> DataFrame:
     """One row per file: data rows, number of issues, and whether it passes."""
-    counted = issues.groupBy("path").agg(F.count(F.lit(1)).alias("n_issues"))
-    return facts.join(counted, "path", "left").select(
-        "path",
-        "run_id",
-        "n_sheets",
-        "data_rows",
-        F.coalesce("n_issues", F.lit(0)).alias("n_issues"),
-        F.col("n_issues").isNull().alias("passed"),
+    n_issues = F.size("issues").cast("long")
+    return _issues(facts).select(
+        "path", "run_id", "n_sheets", "data_rows", n_issues.alias("n_issues"), (n_issues == 0).alias("passed")
     )

@@ -44,12 +44,9 @@ def _local(tag: str) -> str:
 class _Parts:
     """Zip entries by part name: separators and letter case do not matter."""
 
-    def __init__(self, content: bytes, max_unpacked: int):
+    def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.names = {i.filename.replace("\\", "/").lstrip("/").lower(): i for i in self.zip.infolist()}
-        unpacked = sum(i.file_size for i in self.names.values())
-        if unpacked > max_unpacked:
-            raise ValueError(f"unpacked size {unpacked} is above the limit {max_unpacked}")
 
     def has(self, name: str) -> bool:
         return name.lower() in self.names
@@ -194,7 +191,7 @@ def _grid(parts: _Parts, part_name: str, *cell_args) -> Iterator[tuple[int, list
                 yield row_idx, values
 
 
-def sheet_rows(path: str, content: bytes, max_unpacked: int) -> Iterator[dict]:
+def sheet_rows(path: str, content: bytes) -> Iterator[dict]:
     """Rows of all sheets of one file; what fails ends up in ``error``."""
 
     def row(sheet_idx=None, sheet_name=None, row_idx=None, values=None, error=None) -> dict:
@@ -202,7 +199,7 @@ def sheet_rows(path: str, content: bytes, max_unpacked: int) -> Iterator[dict]:
                 "row_idx": row_idx, "values": values, "error": error}
 
     try:
-        parts = _Parts(content, max_unpacked)
+        parts = _Parts(content)
         sheets, from_1904 = _sheets(parts)
         cell_args = (_shared_strings(parts), _date_styles(parts), from_1904)
     except Exception as problem:  # one bad file must not end the job
@@ -220,12 +217,12 @@ def sheet_rows(path: str, content: bytes, max_unpacked: int) -> Iterator[dict]:
         yield row(sheet_idx, name, error=error)
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch], max_unpacked: int) -> Iterator[pa.RecordBatch]:
+def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``mapInArrow`` body: (path, content) batches in, bounded batches of rows out."""
     pending: list[dict] = []
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            for row in sheet_rows(path.as_py(), content.as_py(), max_unpacked):
+            for row in sheet_rows(path.as_py(), content.as_py()):
                 pending.append(row)
                 if len(pending) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(pending, schema=ARROW_ROWS)

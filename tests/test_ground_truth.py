@@ -9,13 +9,23 @@ from platewise.sources.xlsx_encode import encode
 
 # The documented trial run.
 HEADER = ["Well", "Content", "Sample", "Cq", "I.C. Cq", "SQ", "Result"]
-GROUPS = [
-    ("A", "Manual_Pos", ["22.5", "23.1", "22.8", "23.4"], ["28.1", "27.9", "28.3", "28.0"], "Positive"),
-    ("B", "Manual_Neg", [None] * 4, ["28.2", "27.8", "28.4", "28.1"], "Negative"),
-    ("C", "Auto_Pos", ["24.2", "23.8", "24.5", "36.1"], ["28.0", "27.9", "28.2", "28.1"], "Positive"),
-    ("D", "Auto_Neg", [None] * 4, ["28.3", "27.7", "28.0", "37.8"], "Negative"),
-]
-CONTROLS = [
+WELLS = [
+    ["A01", "Unkn", "Manual_Pos", "22.5", "28.1", None, "Positive"],
+    ["A02", "Unkn", "Manual_Pos", "23.1", "27.9", None, "Positive"],
+    ["A03", "Unkn", "Manual_Pos", "22.8", "28.3", None, "Positive"],
+    ["A04", "Unkn", "Manual_Pos", "23.4", "28.0", None, "Positive"],
+    ["B01", "Unkn", "Manual_Neg", None, "28.2", None, "Negative"],
+    ["B02", "Unkn", "Manual_Neg", None, "27.8", None, "Negative"],
+    ["B03", "Unkn", "Manual_Neg", None, "28.4", None, "Negative"],
+    ["B04", "Unkn", "Manual_Neg", None, "28.1", None, "Negative"],
+    ["C01", "Unkn", "Auto_Pos", "24.2", "28.0", None, "Positive"],
+    ["C02", "Unkn", "Auto_Pos", "23.8", "27.9", None, "Positive"],
+    ["C03", "Unkn", "Auto_Pos", "24.5", "28.2", None, "Positive"],
+    ["C04", "Unkn", "Auto_Pos", "36.1", "28.1", None, "Positive"],
+    ["D01", "Unkn", "Auto_Neg", None, "28.3", None, "Negative"],
+    ["D02", "Unkn", "Auto_Neg", None, "27.7", None, "Negative"],
+    ["D03", "Unkn", "Auto_Neg", None, "28.0", None, "Negative"],
+    ["D04", "Unkn", "Auto_Neg", None, "37.8", None, "Negative"],
     ["E01", "Pos Ctrl", "Pos Control", "20.1", "28.0", None, "Valid Ctrl"],
     ["E02", "Neg Ctrl", "Neg Control", None, "28.1", None, "Valid Ctrl"],
 ]
@@ -30,12 +40,7 @@ RUN_INFO = [
 
 @pytest.fixture(scope="module")
 def wells(spark, tmp_path_factory):
-    data = [
-        [f"{letter}0{i + 1}", "Unkn", label, cqs[i], ics[i], None, result]
-        for letter, label, cqs, ics, result in GROUPS
-        for i in range(4)
-    ]
-    results = dict(enumerate([HEADER, *data, *CONTROLS]))
+    results = dict(enumerate([HEADER, *WELLS]))
     folder = tmp_path_factory.mktemp("exports")
     content = encode([("Results", results), ("Run Information", dict(enumerate(RUN_INFO)))])
     (folder / "test_run_001.xlsx").write_bytes(content)
@@ -95,8 +100,8 @@ def test_control_stats(wells):
 
 
 def test_runs(wells):
-    types = runs.sample_types_of(wells)
-    assert types == ["Auto_Neg", "Auto_Pos", "Manual_Neg", "Manual_Pos"]
+    types = ["Auto_Neg", "Auto_Pos", "Manual_Neg", "Manual_Pos"]
+    assert runs.left_out(wells, types).count() == 0
     row = runs.run_comparison(wells, types).collect()
     assert [tuple(r) for r in row] == [("test_run_001", 0, 4, 0, 4, 4, 4, 4, 4)]
     assert runs.interrun_cv(wells).count() == 0

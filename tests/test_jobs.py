@@ -44,7 +44,7 @@ def test_optional_tables_are_left_out(spark, make_wells, tmp_path):
     from platewise.plans import jobs
 
     written = jobs.write_outputs(spark, make_wells([{"target_cq": 20.0}]), str(tmp_path))
-    assert written == ["all_runs_combined", "qc_flags", "run_comparison", "summary_statistics", "wells"]
+    assert written == ["all_runs_combined", "qc_flags", "run_comparison", "summary_statistics"]
 
 
 def test_csv_keeps_texts(spark, make_wells, tmp_path):
@@ -73,3 +73,65 @@ def test_parsed_files_join_up_by_column_name(spark, tmp_path):
 def test_no_files_is_an_error(spark, tmp_path):
     with pytest.raises(Exception):
         tables.load_wells(spark, str(tmp_path / "nothing")).count()
+    with pytest.raises(FileNotFoundError):
+        tables.load_parsed_files(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        main(["parse", str(tmp_path), str(tmp_path / "out")])
+
+
+def test_parse_fails_on_unfit_files(spark, exports, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for f in exports.iterdir():
+        (folder / f.name).write_bytes(f.read_bytes())
+    assert main(["parse", str(folder), str(tmp_path / "good")]) == 0
+    (folder / "headless.xlsx").write_bytes(encode([("R", {0: ["x"]}), ("I", {})]))
+    assert main(["parse", str(folder), str(tmp_path / "bad")]) == 1
+    assert spark.read.parquet(str(tmp_path / "bad" / "wells")).count() == 4
+
+
+def test_types_of_any_name_and_number(spark, make_wells, tmp_path):
+    """Names that differ in case only, and very many types, are rows of the long table."""
+    from platewise.operators import runs
+    from platewise.plans import jobs
+
+    names = ["Manual_Pos", "manual_pos", "run_id"] + [f"t{i}" for i in range(10_000)]
+    wells = make_wells([{"sample_type": n, "run_id": f"r{i % 3}"} for i, n in enumerate(names)])
+    jobs.write_outputs(spark, wells, str(tmp_path / "out"))
+    jobs.write_chart_tables(spark, wells, str(tmp_path / "out"))
+    for table in ("run_comparison", "run_positivity"):
+        assert spark.read.parquet(str(tmp_path / "out" / table)).count() == len(names)
+    for clash in (["Manual_Pos", "manual_pos"], ["run_id"], [None]):
+        with pytest.raises(ValueError):
+            runs.run_comparison(wells, clash)
+    assert runs.left_out(wells, names[3:]).count() == 3
+
+
+def test_tables_of_an_earlier_call_are_removed(spark, make_wells, tmp_path):
+    from platewise.plans import jobs
+
+    control = {"is_control": True, "content": "Pos Ctrl"}
+    assert "control_statistics" in jobs.write_outputs(spark, make_wells([{}, control]), str(tmp_path))
+    assert "control_statistics" not in jobs.write_outputs(spark, make_wells([{}]), str(tmp_path))
+    assert not (tmp_path / "control_statistics").exists()
+
+
+def test_combined_table_is_in_run_order(spark, make_wells, tmp_path):
+    from platewise.plans import jobs
+
+    wells = make_wells([{"run_id": f"r{i % 7}", "well": f"A{i:02d}"} for i in range(70)]).repartition(5)
+    jobs.write_outputs(spark, wells, str(tmp_path))
+    rows = spark.read.parquet(str(tmp_path / "all_runs_combined")).select("run_id", "row_idx").collect()
+    assert [tuple(r) for r in rows] == sorted(tuple(r) for r in rows)
+
+
+def test_wells_without_a_control_mark(spark, tmp_path):
+    (tmp_path / "a_parsed.csv").write_text("run_id,well,content,is_control\na,A01,Unkn,\na,A02,Pos Ctrl,odd\na,A03,,True\n")
+    rows = tables.load_parsed_files(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [r.is_control for r in rows] == [False, True, True]
+
+
+def test_unreadable_parsed_files_are_named(spark, tmp_path):
+    (tmp_path / "bad_parsed.csv").write_bytes(b"run_id,well\na,\xff\xfe\n")
+    with pytest.raises(Exception, match="bad_parsed.csv cannot be read"):
+        tables.load_parsed_files(spark, str(tmp_path)).collect()

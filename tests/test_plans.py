@@ -66,6 +66,17 @@ def test_workbooks_need_one_shuffle_by_file(spark):
     assert shuffles(workbooks.structure_facts(sheet_rows)) == ["path"]
 
 
+def test_the_structure_check_reads_sheet_rows_once(spark, unhinted, tmp_path):
+    catalog.laid_out(spark, SF_DIR).write.parquet(str(tmp_path / "rows"))
+    facts = workbooks.structure_facts(spark.read.parquet(str(tmp_path / "rows")))
+    for df in (workbooks.structure_issues(facts), workbooks.structure_report(facts)):
+        assert plan(df).count("FileScan") == 1
+
+
+def test_flags_read_the_wells_twice(stored, unhinted):
+    assert plan(flags.flag_rows(stored)).count("FileScan") == 2
+
+
 def test_windows_never_span_a_run_of_wells(stored):
     for operator in (flags.ic_outlier_flags, boxes.cq_box_stats, plates.plate_layout):
         assert not re.search(r"Window .*\[run_id#\d+\]", plan(operator(stored)))

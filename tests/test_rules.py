@@ -238,3 +238,11 @@ def test_stats_texts(make_wells):
     assert tuple(stats.stats_text(summary).collect()[0]) == ("X", "1/2", "50.0%", "20.000", "—")
     assert feeds.positivity_bar(summary).collect()[0].bar_label == "1/2\n(50.0%)"
     assert stats.stats_display(summary).columns[-2:] == ["Mean I.C. Cq", "SD I.C. Cq"]
+
+
+def test_null_keys_are_numbered_over_blocks(spark):
+    from platewise.functions.numbering import running_number
+
+    rows = [(None, i) for i in range(10)] + [("a", i) for i in range(6)]
+    numbered = running_number(spark.createDataFrame(rows, "k string, o int"), ["k"], "o", "n", block_rows=4)
+    assert all(r.n == r.o + 1 for r in numbered.collect()) and numbered.count() == 16
