@@ -18,6 +18,9 @@ from platewise.llm import (
     token_files,
     toxicity,
 )
+from platewise.llm.oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,7 +36,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_html_extraction": html_extraction.op10_html_extraction,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
