@@ -27,7 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.functions.skew import join_side
-from platewise.llm.common import arrow_schema, checkpointed, importable, slices
+from platewise.llm.common import (
+    arrow_schema,
+    checkpointed,
+    importable,
+    shuffle_partitions,
+    slices,
+)
 from platewise.llm.components import smallest_reachable
 from platewise.llm.words import Words
 
@@ -87,7 +93,9 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits < 0 or max_bits % 2:
         raise ValueError("max_bits must be even")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(max_bits // 2)])
-    variants = nodes.select(
+    # The nodes are few bytes in few partitions, and become many rows.
+    spread = nodes.repartition(shuffle_partitions(nodes))
+    variants = spread.select(
         "rep", "fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant")
     )
     centre = F.min(F.struct("rep", "fp")).over(Window.partitionBy("variant"))
