@@ -13,6 +13,8 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes, or words, that are hashed at a time.
+_BLOCK = 1 << 19
 
 
 def table_of(word_byte, lower: bool) -> bytes:
@@ -86,12 +88,22 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """One hash per word."""
+        """One hash per word. Bytes are read in blocks, so that the working memory does
+        not grow with a text."""
         raw = np.frombuffer(self.joined, np.uint8)
-        up, down = _powers(_BASE, len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_byte_values()[raw] * up[:-1], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out = np.empty(len(self), np.uint64)
+        begin = 0
+        while begin < len(self):
+            base = int(self.starts[begin])
+            end = max(begin + 1, int(np.searchsorted(self.ends, base + _BLOCK, side="right")))
+            starts, ends = self.starts[begin:end] - base, self.ends[begin:end] - base
+            block = raw[base : base + int(ends[-1])]
+            up, down = _powers(_BASE, len(block) + 1)
+            sums = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum(_byte_values()[block] * up[:-1], out=sums[1:])
+            out[begin:end] = mixed((sums[ends] - sums[starts]) * down[starts])
+            begin = end
+        return out
 
     def left(self) -> np.ndarray:
         """Words from each word to the end of its text, itself included."""
@@ -107,10 +119,15 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each ``n`` consecutive words; the last n - 1 places have none."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    up, down = _powers(_STEP, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mixed((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
+    out = np.empty(len(hashes) - n + 1, np.uint64)
+    up, down = _powers(_STEP, min(len(hashes), _BLOCK + n) + 1)
+    for begin in range(0, len(out), _BLOCK):
+        part = hashes[begin : begin + _BLOCK + n - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        runs = len(part) - n + 1
+        out[begin : begin + runs] = mixed((sums[n:] - sums[:-n]) * down[:runs])
+    return out
 
 
 def covered(length: int, starts: np.ndarray, n: np.ndarray | int) -> np.ndarray:
