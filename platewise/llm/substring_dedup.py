@@ -16,8 +16,9 @@ starts at another place too, in the same or another document.
    sent them, and the parts cut the covered words out of their documents.
 
 Keys are 64-bit hashes, exchanged between buckets of keys and parts of documents in
-arrays. A part sends a key once, with a mark if it has it twice, so a passage in a third
-of all documents costs a bucket one entry per part. No group grows with a hot passage.
+arrays. A key that a slice of documents has twice is known to recur: the parts that have it
+are told at once, and its bucket gets one entry for the whole slice. So a passage in a third
+of all documents costs its bucket one entry per slice, not one per document.
 
 A null text has no words; the document stays with nothing removed. Rows with equal ids
 are documents of their own. Columns added replace those of the same name.
@@ -32,6 +33,7 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +53,10 @@ WINDOW_WORDS = 35
 PHRASE_WORDS = 8
 ROWS_PER_PART = 1000
 
-KEYS = "bucket int, part int, once binary, more binary"
+KEYS = "bucket int, part int, keys binary, parts binary"
 BACK = "part int, keys binary"
 _KEYS = pa.schema(
-    [("bucket", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("more", pa.binary())]
+    [("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("parts", pa.binary())]
 )
 _BACK = pa.schema([("part", pa.int32()), ("keys", pa.binary())])
 
@@ -88,51 +90,59 @@ def dealt(docs: DataFrame, rows_per_part: int) -> tuple[DataFrame, int]:
 
 
 def packed_keys(part: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of KEYS from (part, key) pairs: a key once per part and bucket."""
-    order = np.lexsort((keys, part))
-    part, keys = part[order], keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])
+    """Rows of KEYS from the part and key of each place.
+
+    A key of one place goes to its bucket with its part. A key of more places is known to
+    recur: it goes to its bucket once, without a part, and every part that has it is told
+    by a row that only passes through a bucket chosen by the part.
+    """
+    order = np.lexsort((part, keys))
+    part, keys = part[order].astype(np.int32), keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(keys)))
-    part, keys = part[at], keys[at]
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((n > 1, bucket, part))
-    part, keys, bucket, many = part[order], keys[order], bucket[order], (n > 1)[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(keys))
-    some = np.add.reduceat(many, at, dtype=np.int64) if len(at) else at
-    once = [keys[a : b - m].tobytes() for a, b, m in zip(at, ends, some, strict=True)]
-    more = [keys[b - m : b].tobytes() for b, m in zip(ends, some, strict=True)]
+    many = np.diff(np.append(at, len(keys))) > 1
+    recurs = np.repeat(many, np.diff(np.append(at, len(keys))))
+    told = recurs & (new | np.append(True, part[1:] != part[:-1]))
+    sent, sender = keys[at], np.where(many, np.int32(-1), part[at]).astype(np.int32)
+    bucket = (sent % np.uint64(buckets)).astype(np.int32)
+    rows = [(b, None, k, p) for b, k, p in _split(bucket, sent, sender)]
+    rows += [(p % buckets, p, k, None) for p, k in _split(part[told], keys[told])]
+    columns = [list(c) for c in zip(*rows, strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at]), pa.array(part[at].astype(np.int32)), pa.array(once), pa.array(more)],
-        schema=_KEYS,
+        [pa.array(c, f.type) for c, f in zip(columns, _KEYS, strict=True)], schema=_KEYS
     )
 
 
-def recurring_keys(sent: DataFrame, buckets: int) -> DataFrame:
-    """BACK rows: the keys that occur twice, for each part that sent them.
+def _split(by: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
+    """Each value of ``by`` with the bytes of its share of each array."""
+    order = np.argsort(by, kind="stable")
+    by = by[order]
+    at = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else by
+    arrays = [a[order] for a in arrays]
+    for x, y in zip(at.tolist(), [*at[1:].tolist(), len(by)], strict=False):
+        yield int(by[x]), *[a[x:y].tobytes() for a in arrays]
+
+
+def recurring_keys(sent: DataFrame) -> DataFrame:
+    """BACK rows: the keys of two places or more, for each part that sent them.
 
     Buckets are dealt by hash and hold about as many keys as a part has."""
     return importable(sent).groupBy("bucket").applyInArrow(_recurring, BACK)
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    rows = table.combine_chunks().to_pydict()
-    keys = [np.frombuffer(o + m, np.uint64) for o, m in zip(rows["once"], rows["more"], strict=True)]
-    every = np.concatenate(keys)
-    marked = np.concatenate([np.frombuffer(m, np.uint64) for m in rows["more"]])
-    ordered = np.sort(every)
-    twice = np.union1d(ordered[1:][ordered[1:] == ordered[:-1]], marked)
-    out: dict[int, list[bytes]] = {}
-    for part, own in zip(rows["part"], keys, strict=True):
-        kept = own[np.isin(own, twice)]
-        if len(kept):
-            out.setdefault(part, []).append(kept.tobytes())
-    columns = [list(out), [b"".join(x) for x in out.values()]]
-    return pa.table(columns, schema=_BACK)
+    told = table.column("part").is_valid()
+    out = [(p, k) for p, k in zip(*[table.filter(told).column(c).to_pylist() for c in ("part", "keys")], strict=True)]
+    asked = table.filter(pa.compute.invert(told))
+    keys = np.frombuffer(b"".join(asked.column("keys").to_pylist()), np.uint64)
+    parts = np.frombuffer(b"".join(asked.column("parts").to_pylist()), np.int32)
+    order = np.argsort(keys, kind="stable")
+    keys, parts = keys[order], parts[order]
+    same = keys[1:] == keys[:-1]
+    recurs = (np.append(False, same) | np.append(same, False)) & (parts >= 0)
+    out += _split(parts[recurs], keys[recurs])
+    columns = [list(c) for c in zip(*out, strict=True)] or [[], []]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _BACK, strict=True)], schema=_BACK)
 
 
 def by_part(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -180,7 +190,7 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _send_phrases(
     batches: Iterator[pa.RecordBatch], window: int, phrase: int, buckets: int
 ) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches, "text", 8 << 20):
+    for batch, texts in slices(batches, "text"):
         words = Words.of(texts)
         hashes = run_hashes(words.hashes(), phrase)
         _, named = named_phrases(words, hashes, window, phrase)
@@ -305,10 +315,10 @@ def remove_repeats(
     rows, parts = dealt(docs, rows_per_part)
     texts = rows.select("__part", "text")
     send = partial(_send_phrases, window=window, phrase=phrase, buckets=parts)
-    phrases = recurring_keys(importable(texts).mapInArrow(send, KEYS), parts)
+    phrases = recurring_keys(importable(texts).mapInArrow(send, KEYS))
     send = partial(_send_windows, window=window, phrase=phrase, buckets=parts)
     sent = importable(by_part(texts, checkpointed(phrases))).mapInArrow(send, KEYS)
-    windows = checkpointed(recurring_keys(sent, parts))
+    windows = recurring_keys(sent)
     remove = partial(_remove, window=window, schema=arrow_schema(schema))
     return importable(by_part(rows, windows)).mapInArrow(remove, schema)
 
