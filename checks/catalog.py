@@ -12,7 +12,8 @@ from platewise.operators import boxes, feeds, flags, plates, runs, stats, wells
 from platewise.plans import jobs
 from platewise.schema import RUN_FIELDS, WELLS
 from platewise.session import scratch_folder
-from platewise.sources import plate_events, tables, workbooks
+from checks import plate_events
+from platewise.sources import tables, workbooks
 
 # The sample types the mapping of events gives, for tables with a column per type.
 SAMPLE_TYPES = [

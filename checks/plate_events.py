@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.sources import xlsx_encode
+from checks import xlsx_encode
 
 cloudpickle.register_pickle_by_value(xlsx_encode)
 

@@ -5,7 +5,7 @@ import pytest
 from platewise.operators import flags, runs, stats
 from platewise.operators.wells import wells_from_sheet_rows
 from platewise.sources.workbooks import read_workbooks
-from platewise.sources.xlsx_encode import encode
+from checks.xlsx_encode import encode
 
 # The documented trial run.
 HEADER = ["Well", "Content", "Sample", "Cq", "I.C. Cq", "SQ", "Result"]

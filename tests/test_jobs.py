@@ -6,7 +6,7 @@ import pytest
 
 from platewise.__main__ import main
 from platewise.sources import tables
-from platewise.sources.xlsx_encode import encode
+from checks.xlsx_encode import encode
 
 HEADER = ["Well", "Content", "Sample", "Cq", "I.C. Cq", "SQ", "Result"]
 

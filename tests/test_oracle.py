@@ -4,7 +4,7 @@ import pytest
 
 from checks.compare import connect, differences
 from checks.oracle_sql import oracle_sql
-from platewise.plans.catalog import queries
+from checks.catalog import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import boxes, flags, plates, runs, stats, wells as wells_ops
-from platewise.plans import catalog
+from checks import catalog
 from platewise.sources import tables, workbooks
 
 SF_DIR = "/root/testdata/sf0.001"

@@ -9,8 +9,9 @@ import pytest
 from pyspark import cloudpickle
 
 from platewise.operators.wells import wells_from_sheet_rows
-from platewise.sources import plate_events, workbooks, xlsx_decode
-from platewise.sources.xlsx_encode import encode
+from checks import plate_events
+from platewise.sources import workbooks, xlsx_decode
+from checks.xlsx_encode import encode
 
 HEADER = ["Well", "Content", "Sample", "Cq", "I.C. Cq", "SQ", "Result"]
 WELL = ["A01", "Unkn", "S", "20.5", "28", None, "Positive"]
