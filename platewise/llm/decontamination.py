@@ -7,7 +7,8 @@ by ranks of bits, one level for each bit of the word's number. A phrase of the b
 searched backwards, word by word, for all phrases at once; what is left is the interval of
 rows whose suffixes begin with it. Rows whose text position is a multiple of ``sample`` keep
 it; from any other row, steps of the last-to-first mapping lead to such a row. The places
-found become spans of words, merged per document.
+found become spans of words, merged per document. A shard that lacks words of every phrase
+has no occurrence and needs no index.
 
 The benchmark is a stated set of queries. It is read in blocks of at most
 ``BLOCK_BYTES`` of text, one at a time, and each block is broadcast; a benchmark of more than one
