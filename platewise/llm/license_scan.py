@@ -17,6 +17,8 @@ the same name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,11 +150,14 @@ _PLAIN_NEEDS_LICENSE = {
     "mit", "apache", "gpl", "lgpl", "agpl", "bsd", "mpl", "epl", "isc", "zlib", "bsl-1.0", "x11", "eupl", "fair",
     "artistic-2.0", "php-3.0", "ruby", "openssl", "postgresql", "ncsa", "python-2.0", "ms-pl", "ms-rl", "upl-1.0",
     "afl-3.0", "osl-3.0", "odbl", "ofl-1.1", "json", "vim", "elastic-2.0", "busl", "llama", "openrail", "cc", "cddl",
-    "sspl", "gfdl",
+    "sspl", "gfdl", "mit-0", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "odc-by",
 }
 _LICENSE = r"(?: licen[sc]es?)"
+_GRANT_WORDS = [
+    "released", "licensed", "licenced", "distributed", "available", "published", "provided", "covered", "shared", "offered",
+]
 _GRANT = (
-    r"(?:released|licensed|licenced|distributed|available|published|provided|covered|made available|shared|offered)"
+    rf"(?:{'|'.join(_GRANT_WORDS)})"
     r" (?:under|subject to|according to) (?:the )?(?:terms of )?(?:the )?"
 )
 
@@ -171,11 +176,12 @@ def rules() -> list[tuple[int, str, float, str, str]]:
 
 
 def gate_words() -> list[str]:
-    """Words of which every text with a base phrase or a detection contains one."""
-    words = {"gnu", "licen", "cc"}
-    for _, _, _, keyword, body in rules():
-        always = "licen" in body and not body.endswith(_LICENSE + "?")
-        if not always and not any(w in keyword for w in words):
+    """Words of which every text with a base phrase or a detection contains one: those of
+    the base phrases and grants, "licen", and the keywords of rules that can do without."""
+    words = {"gnu", "licen", "cc", *_GRANT_WORDS}
+    for level, _, _, keyword, body in rules():
+        needed = re.sub(r"\(\?:[^()]*\)\?", "", body)
+        if level != 3 and "licen" not in needed:
             words.add(keyword)
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
@@ -280,16 +286,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """Adds ``n_words``, ``base`` (places of the base phrases as start and label),
     ``detections`` (start, stop, level, rule, label, confidence) and ``license_score``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lowered = F.lower(text)
     some = F.lit(False)
     for word in gate_words():
-        some = some | F.contains(lowered, F.lit(word))
+        some = some | F.contains("__low", F.lit(word))
     letters = "abcdefghijklmnopqrstuvwxyz"
     words = F.regexp_extract_all(F.translate(text, letters.upper(), letters), F.lit(WORD), 0)
     norm = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    read = docs.withColumns(
+    # A column of its own, so that texts are put in lower case once and not for each word.
+    read = docs.withColumn("__low", F.lower(text)).withColumns(
         {"n_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "__norm": F.when(some, norm)}
-    )
+    ).drop("__low")
     norm = F.col("__norm")
     base = F.concat(*[_places(norm, phrase, label) for phrase, label in BASE.items()])
     none = "array<struct<start: bigint, label: string>>"
