@@ -1,26 +1,65 @@
 """Token ids of whole texts by a byte-level tokenizer, with caches of what it gave.
 
-White space and the word after it form a chunk. A byte-level pattern never joins a
-character with white space that follows it, so the ids of a text are those of its
-chunks one after another, and most chunks come again and again. A new chunk is split
-by the tokenizer's pattern, and the model is asked for new pieces only.
+A text is cut before every blank or line feed that a visible character follows. A
+byte-level pattern gives the last character of white space to what follows or makes it a
+piece of its own, so the ids of a text are those of its chunks one after another, and most
+chunks come again and again. A new chunk is split by the tokenizer's pattern, and the model
+is asked for new pieces only. Texts with longer white space are cut before all of it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import regex
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Chunks and pieces a worker keeps; at more it starts anew. Only speed depends on it.
-CACHED = 1_000_000
+#: Chunks, and pieces, of each of the two generations that a worker keeps: at more, the
+#: older goes and what comes again is taken over. Only speed depends on it.
+CACHED = 300_000
 
-_ODD = regex.compile(r"\s\s")
 _CUT = regex.compile(r"(?<=\S)(?=[ \n])")
 #: Characters on whose class every Unicode version agrees.
 _PLAIN = regex.compile(r"[\x00-\u024f]*")
+#: The tokenizer's pattern for ASCII text.
+_ASCII = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
+)
+
+
+class _LongerSpace(Exception):
+    """White space of more than one character."""
+
+
+class _Chunks(dict):
+    """Ids by chunk, without its blank; a line feed stays."""
+
+    def __init__(self, ids, before: dict) -> None:
+        self.ids, self.before = ids, before
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.before.get(part)
+        if found is None:
+            if not part or (part[0].isspace() and (part[0] != "\n" or not part[1:2].strip())):
+                raise _LongerSpace
+            found = self.ids(part if part[0] == "\n" else " " + part)
+        self[part] = found
+        return found
+
+
+class _Pieces(dict):
+    """Ids by piece."""
+
+    def __init__(self, before: dict) -> None:
+        self.before = before
+
+    def __missing__(self, piece: str) -> bytes | None:
+        found = self.before.get(piece)
+        if found is not None:
+            self[piece] = found
+        return found
 
 
 def default_path() -> str:
@@ -53,43 +92,44 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans(byte_letters())
         self.blank = chr(self.letters[32])
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks = _Chunks(self._ids, {})
+        self.pieces = _Pieces({})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        lists = [self._chunks_of(t) for t in texts]
-        if len(self.chunks) > CACHED:
-            self.chunks = {}
-        if len(self.pieces) > CACHED:
-            self.pieces = {}
-        known = self.chunks
-        for chunk in set().union(*lists) - known.keys():
-            known[chunk] = self._ids(chunk)
-        return [b"".join([known[c] for c in chunks]) for chunks in lists]
-
-    def _chunks_of(self, text: str) -> list[str]:
+        out = []
+        for text in texts:
+            if len(self.chunks) > CACHED:
+                self.chunks = _Chunks(self._ids, dict(self.chunks))
+            if len(self.pieces) > CACHED:
+                self.pieces = _Pieces(dict(self.pieces))
+            out.append(self._encode(text))
+        return out
+
+    def _encode(self, text: str) -> bytes:
         if not self.byte_level or any(a in text for a in self.added):
-            return [text]
-        if _ODD.search(text):
-            return _CUT.split(text)
+            return self._whole(text)
         parts = text.replace("\n", " \n").split(" ")
-        chunks = [p if p[:1] == "\n" else " " + p for p in parts]
-        chunks[0] = parts[0]
-        return chunks
+        first = self._ids(parts[0])
+        try:
+            return first + b"".join(map(self.chunks.__getitem__, parts[1:]))
+        except _LongerSpace:
+            return b"".join(map(self._ids, _CUT.split(text)))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _ids(self, chunk: str) -> bytes:
-        plain = chunk.isascii() and chunk.isprintable()
-        if (
-            not self.byte_level
-            or not (plain or _PLAIN.fullmatch(chunk))
-            or any(a in chunk for a in self.added)
-        ):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
-            return array("I", ids).tobytes()
+        if chunk.isascii():
+            found = _ASCII.findall(chunk)
+            plain = chunk.isprintable()
+        elif _PLAIN.fullmatch(chunk):
+            found, plain = self.pattern.findall(chunk), False
+        else:
+            return self._whole(chunk)
         out = []
-        for piece in self.pattern.findall(chunk):
-            ids = self.pieces.get(piece)
+        for piece in found:
+            ids = self.pieces[piece]
             if ids is None:
                 letters = (
                     piece.replace(" ", self.blank)
