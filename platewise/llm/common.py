@@ -88,7 +88,7 @@ def ascii_crc32(doc_id: Column) -> Column:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20
+    batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut so that each holds about ``most_bytes`` of text, or one row, with
     the texts as bytes (null as empty)."""
@@ -103,6 +103,7 @@ def slices(
             held += int(n)
         if begin < len(lengths):
             yield batch.slice(begin), _bytes(texts.slice(begin))
+    pa.default_memory_pool().release_unused()
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:

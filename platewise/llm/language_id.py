@@ -205,7 +205,8 @@ def learned(docs: DataFrame) -> Model:
         .filter(F.col("n") <= TRAIN_ROWS)
     )
     # Rows with equal ids may meet each other's language; both conditions must hold.
-    texts = docs.select("doc_id", "lang", F.col("text")).join(chosen, ["doc_id", "lang"])
+    # Bounded by TRAIN_ROWS for each language, as the automata are: no text is shuffled.
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     by_lang: dict[str, list[str]] = {}
     found = texts.select("lang", "n", F.substring("text", 1, 4 * TRAIN_CUT).alias("text"))
     for r in found.orderBy("lang", "n", "text").toLocalIterator():

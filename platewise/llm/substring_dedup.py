@@ -157,7 +157,7 @@ def by_part(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def parts_of(
-    batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20
+    batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20
 ) -> Iterator[tuple[np.ndarray, bool, pa.RecordBatch, list[bytes]]]:
     """Slices of documents of one part each, with the sorted keys of the part and
     whether it is the part's first slice."""
