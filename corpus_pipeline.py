@@ -43,8 +43,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of the benchmark."""
-    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _like(docs, decontamination.without_leaks(found))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _like(docs, decontamination.find_leaks(docs, benchmark, cut=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

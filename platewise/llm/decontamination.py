@@ -217,9 +217,10 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
 
 
 def _search(
-    batches: Iterator[pa.RecordBatch], block, schema: pa.Schema, more: bool
+    batches: Iterator[pa.RecordBatch], block, schema: pa.Schema, more: bool, cut: bool
 ) -> Iterator[pa.RecordBatch]:
-    """``more``: the rows have spans and items of blocks before."""
+    """``more``: the rows have spans and items of blocks before. ``cut``: the words of all
+    spans are cut out of the texts."""
     phrases: Phrases = block.value
     for batch, texts in slices(batches, "text", SHARD_BYTES):
         words = Words.of(texts, ALNUM)
@@ -249,9 +250,17 @@ def _search(
             spans[i] = [{"begin": int(a), "end": int(b)} for a, b in steps.reshape(-1, 2)]
             found = {x for p in np.unique(numbers[own]).tolist() for x in phrases.items[p]}
             items[i] = sorted(found.union(known[i]))
+        kept = batch.column("text")
+        if cut:
+            runs = [[(s["begin"], s["end"]) for s in x] for x in spans]
+            kept = [
+                without(texts[i], r, ALNUM).decode() if r else t
+                for i, (r, t) in enumerate(zip(runs, kept.to_pylist(), strict=True))
+            ]
         yield replaced(
             batch,
             schema,
+            text=kept,
             n_words=n_words,
             n_hit=[sum(s["end"] - s["begin"] for s in x) for x in spans],
             removal=pa.array(spans, schema.field("removal").type),
@@ -277,9 +286,11 @@ def find_leaks(
     benchmark: DataFrame,
     window: int = WINDOW_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """All documents with ``n_words``, ``n_hit``, ``removal`` (spans of hit words) and
-    ``items`` (ids of the items found, in order)."""
+    ``items`` (ids of the items found, in order). With ``cut`` the spans are cut out of the
+    texts; that is done in the last search, so that a task needs one Python worker."""
     schema = with_columns(
         docs,
         ("n_words", "long"),
@@ -288,31 +299,20 @@ def find_leaks(
         ("items", "array<bigint>"),
     )
     found = docs.drop("n_words", "n_hit", "removal", "items")
-    for number, block in enumerate(blocks_of(benchmark, block_bytes)):
+    blocks, number = blocks_of(benchmark, block_bytes), 0
+    block: list[tuple] | None = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         if number:
             found = staged(found, "decontamination")
         phrases = docs.sparkSession.sparkContext.broadcast(phrases_of(block, window))
-        search = partial(_search, block=phrases, schema=arrow_schema(schema), more=number > 0)
+        how = {"more": number > 0, "cut": cut and after is None}
+        search = partial(_search, block=phrases, schema=arrow_schema(schema), **how)
         found = importable(found).mapInArrow(search, schema)
+        block, number = after, number + 1
     return found
 
 
-def without_leaks(found: DataFrame) -> DataFrame:
-    """Rows of ``find_leaks`` with the spans of hit words cut out of the text."""
-    cut = partial(_cut, schema=arrow_schema(found.schema))
-    return importable(found).mapInArrow(cut, found.schema)
-
-
-def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("removal").to_pylist()):
-            if spans:
-                runs = [(s["begin"], s["end"]) for s in spans]
-                texts[i] = without(texts[i].encode(), runs, ALNUM).decode()
-        yield replaced(batch, schema, text=texts)
-
-
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))

@@ -87,9 +87,10 @@ def test_leaks(spark, docs, texts, benchmark_rows, alnum_words, block_bytes):
     assert got == Counter(brute(texts, benchmark_rows, alnum_words))
 
 
-def test_cut_texts(spark, docs, texts, benchmark_rows, alnum_words):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
+def test_cut_texts(spark, docs, texts, benchmark_rows, alnum_words, block_bytes):
     benchmark = spark.createDataFrame(benchmark_rows, "item_id long, text string")
-    cut = decontamination.without_leaks(decontamination.find_leaks(docs, benchmark))
+    cut = decontamination.find_leaks(docs, benchmark, block_bytes=block_bytes, cut=True)
     want = Counter()
     for (i, t, _), (_, _, hit, _) in zip(texts, brute(texts, benchmark_rows, alnum_words), strict=True):
         want[i, t is None, tuple(w for k, w in enumerate(alnum_words(t)) if k not in hit)] += 1
