@@ -67,6 +67,29 @@ def test_scores_see_the_text_alone(corpus):
     assert all(scores[i] == scores[i + 100000] for i in range(40))
 
 
+def test_thresholds_weigh_the_classes():
+    """Half of the sample is toxic, a tenth of all labels: scores of 0.55 that are toxic in
+    half of the sample are mostly false alarms."""
+    scores = np.array([0.8] * 40 + [0.55] * 40 + [0.1] * 40)
+    toxic = np.array([1] * 40 + [1, 0] * 20 + [0] * 40)
+    lang = ["aa"] * 120
+    assert toxicity._thresholds(scores, toxic, lang, {"aa": (60, 60)}) == {"aa": 0.55}
+    assert toxicity._thresholds(scores, toxic, lang, {"aa": (900, 100)}) == {"aa": 0.7}
+
+
+def test_shares_of_all_labels(corpus, monkeypatch):
+    """A sample of equal classes is weighted by all labels that may be learned from."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 75)
+    docs, labels = corpus
+    sample, shares, by_lang = toxicity.learning_sample(docs, labels)
+    assert sample.toxic.mean() == 0.5
+    rows = [r for r in docs.join(labels, "doc_id").collect() if crc(r["doc_id"], 3) != 1]
+    assert shares == tuple(sum(r["toxic"] == c for r in rows) for c in (0, 1))
+    assert by_lang and all(sum(r["toxic"] == c and r["lang"] == k for r in rows) == by_lang[k][c] for k in by_lang for c in (0, 1))
+    net = toxicity.trained(sample, shares, by_lang)
+    assert all(0.5 <= t <= 0.9 for t in net.thresholds.values())
+
+
 def test_convolution_by_brute_force():
     """Maxima of all filters over a text, computed place by place."""
     rng = np.random.default_rng(1)
