@@ -3,8 +3,12 @@
 Every page is read into a tree of elements. Elements that are never text of an article
 (scripts, menus, forms, page headers and footers, and those whose class, id or role says
 so) go at once. Of the others, each subtree has a hash of its names, attributes and text;
-hashes are counted per host, and a subtree that ``least_pages`` pages of a host have is part
-of the site's template and goes as well. Inside an ``article`` or ``main`` element nothing
+hashes are counted per host, and a subtree that ``least_pages`` pages and a share of
+``least_share`` of the pages of a host have is part of the site's template and goes as well.
+Pages of which the same is left count as one, so copies of a page make no template, and pages
+without text do not count. An element that holds an ``article`` or ``main`` is never
+template, nor is an inline element within text of its parent, which would leave half a
+sentence. Inside an ``article`` or ``main`` element nothing
 counts as template: what an article says stays, however often it is copied. A page with
 such an element gives the text inside it, any other page what is left of its body.
 
@@ -12,8 +16,8 @@ Block elements and line breaks separate; white space within a block becomes one
 blocks are joined by one blank. Character references are decoded.
 
 Pages are dealt into parts by their content, and the template hashes go to the parts that
-have them, so a host of a third of all pages is spread over all tasks. Counts are combined
-before they are shuffled.
+have them, so a host of a third of all pages is spread over all tasks. Hashes are counted
+after a shuffle by hash and page, so no group grows with a host.
 
 Null and empty pages have the empty text. A page without a host counts as of the host "".
 Repeated rows are pages of their own. Columns added replace those of the same name.
@@ -46,6 +50,7 @@ from platewise.llm.common import (
 )
 
 LEAST_PAGES = 5
+LEAST_SHARE = 0.5
 ROWS_PER_PART = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -104,18 +109,25 @@ class Element:
     dropped: bool
     parts: list = field(default_factory=list)  #: texts and elements, in order
 
-    def key(self, found: list[tuple[int, Element]]) -> int:
-        """Hash of the subtree; elements that may be template are added to ``found``."""
+    def key(self, found: list[tuple[int, Element]], in_text: bool = False) -> tuple[int, bool, bool]:
+        """Hash of the subtree, whether it has text, and whether it is or holds an article;
+        elements that may be template are added to ``found``. ``in_text``: the element
+        around it has text of its own."""
         h = xxhash.xxh64(f"{self.name} {self.attributes}")
+        own = any(isinstance(p, str) and p.strip() for p in self.parts)
+        text, holds = own, self.article
         for p in self.parts:
             if isinstance(p, str):
                 h.update(" ".join(p.split()) + "\n")
             elif not p.dropped:
-                h.update(p.key(found).to_bytes(8, "little"))
+                key, has_text, holds_article = p.key(found, own)
+                h.update(key.to_bytes(8, "little"))
+                text, holds = text or has_text, holds or holds_article
         key = h.intdigest()
-        if not self.article and self.name not in ("html", "body"):
+        within = in_text and self.name in INLINE
+        if text and not holds and not within and self.name not in ("html", "body"):
             found.append((key, self))
-        return key
+        return key, text, holds
 
 
 def _is_chrome(name: str, attributes: dict[str, str], in_article: bool) -> bool:
@@ -226,36 +238,43 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _subtrees(html: bytes, url: str | None) -> tuple[Element, list[tuple[int, Element]]]:
-    """The page and its possible template elements with their keys, the host in them."""
+def _keyed(html: bytes, url: str | None) -> tuple[Element, list[tuple[int, Element]], int, int | None]:
+    """The page, its possible template elements with their keys, the host in them, the
+    host, and a hash of what is left of the page; that is None if it has no text."""
     root = parsed(html.decode("utf-8", "replace"))
     found: list[tuple[int, Element]] = []
-    root.key(found)
+    content, text, _ = root.key(found)
     seed = xxhash.xxh64_intdigest(host_of(url))
     keyed = [(xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed), e) for k, e in found]
-    return root, keyed
+    return root, keyed, seed, content if text else None
+
+
+def _subtrees(html: bytes, url: str | None) -> tuple[Element, list[tuple[int, Element]]]:
+    """The page and its possible template elements with their keys, the host in them."""
+    return _keyed(html, url)[:2]
 
 
 def _send(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(part, key, pages): in how many pages of a slice a key is."""
+    """(part, host, key, content), once in a slice; the key of a page itself is null."""
     for batch, pages in slices(batches, "html"):
-        counts: dict[tuple[int, int], int] = {}
+        sent: set[tuple[int, int, int | None, int]] = set()
         rows = zip(batch.column("__part").to_pylist(), pages, batch.column("url").to_pylist(), strict=True)
         for part, html, url in rows:
-            for key in {k for k, _ in _subtrees(html, url)[1]}:
-                counts[part, key] = counts.get((part, key), 0) + 1
-        if counts:
-            parts, keys = zip(*counts, strict=True)
+            _, keyed, host, content = _keyed(html, url)
+            if content is not None:
+                sent.update((part, host, key, content) for key in [None, *(k for k, _ in keyed)])
+        if sent:
+            parts, hosts, keys, contents = zip(*sent, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(parts, pa.int32()),
-                    pa.array(np.array(keys, np.uint64).view(np.int64)),
-                    pa.array(list(counts.values()), pa.int64()),
-                ],
-                schema=schema,
+                [pa.array(parts, pa.int32()), _longs(hosts), _longs(keys), _longs(contents)], schema=schema
             )
 
 
+def _longs(hashes: tuple[int | None, ...]) -> pa.Array:
+    """The bits of 64-bit hashes as signed numbers."""
+    return pa.array(hashes, pa.uint64()).view(pa.int64())
+
+
 def _extract(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     part, known = None, set()
     for batch, pages in slices(batches, "html"):
@@ -277,7 +296,10 @@ def _extract(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
 
 
 def extract_text(
-    pages: DataFrame, least_pages: int = LEAST_PAGES, rows_per_part: int = ROWS_PER_PART
+    pages: DataFrame,
+    least_pages: int = LEAST_PAGES,
+    rows_per_part: int = ROWS_PER_PART,
+    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """All pages without ``html``, with ``text`` and ``n_chars``."""
     schema = with_columns(pages.drop("html"), ("text", "string"), ("n_chars", "long"))
@@ -286,13 +308,17 @@ def extract_text(
     # Columns of the result are made anew, so only the others travel with the pages.
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*kept).withColumn("__part", number)
-    fields = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("pages", pa.int64())])
-    sent = importable(rows.select("__part", "url", "html")).mapInArrow(
-        partial(_send, schema=fields), "part int, key long, pages long"
+    fields = pa.schema([("part", pa.int32())] + [(c, pa.int64()) for c in ("host", "key", "content")])
+    sent = checkpointed(
+        importable(rows.select("__part", "url", "html")).mapInArrow(
+            partial(_send, schema=fields), "part int, host long, key long, content long"
+        )
     )
-    counts = checkpointed(sent.groupBy("part", "key").agg(F.sum("pages").alias("pages")))
-    templates = counts.groupBy("key").agg(F.sum("pages").alias("n")).filter(F.col("n") >= least_pages)
-    back = counts.select("part", "key").join(join_side(templates.select("key")), "key")
+    distinct = sent.select("host", "key", "content").distinct()
+    often = checkpointed(distinct.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages))
+    hosts = often.filter("key is null").select("host", (F.col("n") * least_share).alias("least"))
+    templates = often.filter("key is not null").join(hosts, "host").filter("n >= least")
+    back = sent.filter("key is not null").select("part", "key").join(join_side(templates.select("key")), "key").distinct()
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "__part"]
     first = back.select(*blank, F.col("part").alias("__part"), F.col("key").alias("__key"))
     both = first.unionByName(rows.withColumn("__key", F.lit(None).cast("long")))

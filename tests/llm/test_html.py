@@ -58,6 +58,38 @@ def test_templates_by_host(spark):
     assert got == sorted(want)
 
 
+def extracted(spark, htmls):
+    rows = [(i, f"https://one.example/{i}", html) for i, html in enumerate(htmls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r["text"] for r in html_extraction.extract_text(pages, rows_per_part=7).orderBy("page_id").collect()]
+
+
+def test_copies_are_no_template(spark):
+    """Copies of a page count once, also where the element that holds the article is one."""
+    wrapped = "<div><p>intro</p><article><p>the article itself</p></article></div>"
+    plain = "<div><p>all of the page</p></div>"
+    others = [f"<p>page {i}</p>" for i in range(5)]
+    texts = extracted(spark, [wrapped] * 6 + [plain] * 6 + others)
+    assert texts == ["the article itself"] * 6 + ["all of the page"] * 6 + [f"page {i}" for i in range(5)]
+    shells = [f"<p>teaser {i}</p><div><p>box</p><article>the one article</article></div>" for i in range(6)]
+    assert extracted(spark, shells) == ["the one article"] * 6
+
+
+def test_short_elements_of_a_big_host(spark):
+    """What a fifth of the pages have is no template; neither are words of a sentence."""
+    pages = [
+        f"<div>terms of use</div><p>see the <b>Note</b> {i}</p>"
+        + ("<h2>Introduction</h2><table><tr><td>2019<td>" + str(i) + "</table>" if i % 5 == 0 else "")
+        for i in range(40)
+    ]
+    want = [f"see the Note {i}" + (f" Introduction 2019 {i}" if i % 5 == 0 else "") for i in range(40)]
+    assert extracted(spark, pages) == want
+
+
+def test_elements_without_text_are_no_template(spark):
+    assert extracted(spark, [f"<p>{i} un<wbr>bro<i></i>ken</p>" for i in range(6)]) == [f"{i} unbroken" for i in range(6)]
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extraction.extract_text(pages).count() == 0
