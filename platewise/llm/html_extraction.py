@@ -6,11 +6,14 @@ so) go at once. Of the others, each subtree has a hash of its names, attributes
 hashes are counted per host, and a subtree that ``least_pages`` pages and a share of
 ``least_share`` of the pages of a host have is part of the site's template and goes as well.
 Pages of which the same is left count as one, so copies of a page make no template, and pages
-without text do not count. An element that holds an ``article`` or ``main`` is never
+without text do not count. An element that is or holds an ``article`` or ``main`` is never
 template, nor is an inline element within text of its parent, which would leave half a
-sentence. Inside an ``article`` or ``main`` element nothing
-counts as template: what an article says stays, however often it is copied. A page with
-such an element gives the text inside it, any other page what is left of its body.
+sentence. Where articles hold at least half of the letters of a page, what is inside them
+counts once for all pages that say the same in their articles: what an article says stays,
+however often it is copied.
+
+If at least half of the letters that are left are inside ``article`` or ``main`` elements, a
+page gives the text inside them, any other page all that is left of its body.
 
 Block elements and line breaks separate; white space within a block becomes one blank, and
 blocks are joined by one blank. Character references are decoded.
@@ -37,14 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.functions.skew import join_side
 from platewise.llm.common import (
     arrow_schema,
-    checkpointed,
     importable,
     replaced,
     shuffle_partitions,
     slices,
+    staged,
     table,
     with_columns,
 )
@@ -115,7 +117,7 @@ class Element:
         around it has text of its own."""
         h = xxhash.xxh64(f"{self.name} {self.attributes}")
         own = any(isinstance(p, str) and p.strip() for p in self.parts)
-        text, holds = own, self.article
+        text, holds = own, self.name in ("article", "main")
         for p in self.parts:
             if isinstance(p, str):
                 h.update(" ".join(p.split()) + "\n")
@@ -207,30 +209,43 @@ def _close(stack: list[Element], name: str) -> None:
 
 def text_of(root: Element, templates: set[int]) -> str:
     """Text of what is left. ``templates`` holds the ``id()`` of elements that go."""
-    inside = _has_article(root)
+    inside, whole = _texts(root, templates)
+    return inside if _is_most(inside, whole) else whole
+
+
+def _is_most(inside: str, whole: str) -> bool:
+    """Whether at least half of the letters are inside articles."""
+    return 2 * len(inside.replace(" ", "")) >= len(whole.replace(" ", ""))
+
+
+def _texts(root: Element, templates: set[int]) -> tuple[str, str]:
+    """Text inside articles, and all text."""
+    inside: list[str] = []
     out: list[str] = []
 
     def walk(e: Element) -> None:
         if e.dropped or id(e) in templates:
-            out.append(" ")
+            put(" ")
             return
         block = e.name not in INLINE
         if block:
-            out.append(" ")
+            put(" ")
         for p in e.parts:
             if not isinstance(p, str):
                 walk(p)
-            elif e.article or not inside:
+            else:
                 out.append(p)
+                if e.article:
+                    inside.append(p)
         if block:
-            out.append(" ")
-
-    walk(root)
-    return " ".join("".join(out).split())
+            put(" ")
 
+    def put(blank: str) -> None:
+        out.append(blank)
+        inside.append(blank)
 
-def _has_article(e: Element) -> bool:
-    return any(not isinstance(p, str) and (p.article or _has_article(p)) for p in e.parts)
+    walk(root)
+    return " ".join("".join(inside).split()), " ".join("".join(out).split())
 
 
 def host_of(url: str | None) -> str:
@@ -260,9 +275,13 @@ def _send(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         sent: set[tuple[int, int, int | None, int]] = set()
         rows = zip(batch.column("__part").to_pylist(), pages, batch.column("url").to_pylist(), strict=True)
         for part, html, url in rows:
-            _, keyed, host, content = _keyed(html, url)
-            if content is not None:
-                sent.update((part, host, key, content) for key in [None, *(k for k, _ in keyed)])
+            root, keyed, host, content = _keyed(html, url)
+            if content is None:
+                continue
+            inside, whole = _texts(root, set())
+            said = xxhash.xxh64_intdigest(inside) if _is_most(inside, whole) else content
+            sent.add((part, host, None, content))
+            sent.update((part, host, k, said if e.article else content) for k, e in keyed)
         if sent:
             parts, hosts, keys, contents = zip(*sent, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -309,16 +328,19 @@ def extract_text(
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*kept).withColumn("__part", number)
     fields = pa.schema([("part", pa.int32())] + [(c, pa.int64()) for c in ("host", "key", "content")])
-    sent = checkpointed(
-        importable(rows.select("__part", "url", "html")).mapInArrow(
-            partial(_send, schema=fields), "part int, host long, key long, content long"
-        )
+    hashed = importable(rows.select("__part", "url", "html")).mapInArrow(
+        partial(_send, schema=fields), "part int, host long, key long, content long"
     )
+    # Staged as Parquet, which takes less disk than a checkpoint; and Spark then
+    # knows the size of the templates, so that few of them are joined without a shuffle.
+    sent = staged(hashed, "html-subtrees")
     distinct = sent.select("host", "key", "content").distinct()
-    often = checkpointed(distinct.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages))
+    counted = distinct.groupBy("host", "key").agg(F.count("*").alias("n"))
+    often = staged(counted.filter(F.col("n") >= least_pages), "html-often")
     hosts = often.filter("key is null").select("host", (F.col("n") * least_share).alias("least"))
-    templates = often.filter("key is not null").join(hosts, "host").filter("n >= least")
-    back = sent.filter("key is not null").select("part", "key").join(join_side(templates.select("key")), "key").distinct()
+    joined = often.filter("key is not null").join(hosts, "host").filter("n >= least")
+    templates = staged(joined.select("key"), "html-templates")
+    back = sent.filter("key is not null").select("part", "key").join(templates, "key").distinct()
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "__part"]
     first = back.select(*blank, F.col("part").alias("__part"), F.col("key").alias("__key"))
     both = first.unionByName(rows.withColumn("__key", F.lit(None).cast("long")))

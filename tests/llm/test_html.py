@@ -90,6 +90,21 @@ def test_elements_without_text_are_no_template(spark):
     assert extracted(spark, [f"<p>{i} un<wbr>bro<i></i>ken</p>" for i in range(6)]) == [f"{i} unbroken" for i in range(6)]
 
 
+def test_articles_and_templates(spark):
+    """Boxes that recur inside main go; the article counts only where it is most of the page."""
+    boxed = [f"<main><ul><li>home<li>shop</ul><p>{'word ' * 9}{i}</p></main><p>out</p>" for i in range(6)]
+    assert extracted(spark, boxed) == [f"{'word ' * 9}{i}" for i in range(6)]
+    cards = [f"<div><p>the real text of page {i}</p></div><article><p>read on</p></article>" for i in range(6)]
+    assert extracted(spark, cards) == [f"the real text of page {i}" for i in range(6)]
+    assert extracted(spark, cards[:1]) == ["the real text of page 0 read on"]
+
+
+def test_article_in_other_surroundings(spark):
+    """An article that many pages of a host have stays, whatever is around it."""
+    pages = [f"<p>seen {i}</p><article><p>{'the same words ' * 3}</p></article>" for i in range(8)]
+    assert extracted(spark, pages) == [("the same words " * 3).strip()] * 8
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extraction.extract_text(pages).count() == 0
