@@ -139,7 +139,7 @@ NAMES = [
     ("elastic-2.0", "elastic", r"elastic(?: 2 0)?"),
     ("json", "json", r"json"),
     ("llama", "llama", r"llama(?: [23])? community"),
-    ("openrail", "rail", r"(?:open ?rail(?: m)?|responsible ai)"),
+    ("openrail", "ai", r"(?:open ?rail(?: m)?|responsible ai)"),
     ("fair", "fair", r"fair"),
     ("vim", "vim", r"vim"),
     ("beerware", "beer", r"beer ?ware"),

@@ -74,6 +74,54 @@ def test_strata_without_labels_and_null_strata(spark, docs, no_docs):
         assert judged.filter("kept = base_failed").count() == 0
 
 
+def expansions(parsed):
+    """Texts that an expression matches, with every choice of its branches and options; a
+    set of letters stands for its first one."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(value)]
+        elif name == "IN":
+            kind, what = value[0]
+            some = [{"LITERAL": lambda: chr(what), "RANGE": lambda: chr(what[0])}.get(str(kind), lambda: "x")()]
+        elif name == "SUBPATTERN":
+            some = expansions(value[3])
+        elif name == "BRANCH":
+            some = [x for branch in value[1] for x in expansions(branch)]
+        else:
+            assert name == "MAX_REPEAT", name
+            some = {x * n for n in {value[0], max(1, value[0])} for x in expansions(value[2])}
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_keyword_of_every_alternative():
+    """Whatever a rule matches has its keyword, by whichever alternative. Grants hold the
+    names of the tags."""
+    gate = license_scan.gate_words()
+    for level, label, _, keyword, body in license_scan.rules():
+        if level == 3:
+            continue
+        for plain in expansions(re._parser.parse(body)):
+            assert re.fullmatch(body, plain) and keyword in plain, (level, label, plain)
+            assert any(g in plain for g in gate), (level, label, plain)
+
+
+RAIL = [
+    "SPDX-License-Identifier: Responsible AI",
+    "The model is licensed under the Responsible AI License.",
+    "see the Responsible AI license",
+    "released under OpenRAIL-M",
+]
+
+
+def test_responsible_ai(spark):
+    rows = spark.createDataFrame(list(enumerate(RAIL)), "doc_id long, text string")
+    found = {r["doc_id"]: [(d["label"], d["level"]) for d in r["detections"]] for r in license_scan.scan(rows).collect()}
+    assert found == {0: [("openrail", 2)], 1: [("openrail", 3)], 2: [("openrail", 4)], 3: [("openrail", 3)]}
+
+
 def places(words, phrase):
     phrase = phrase.split()
     return [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]

@@ -22,6 +22,19 @@ def test_query_equals_sql(spark, duck, name):
     assert differences(queries.queries()[name](spark, SF), duck, queries.oracle_sql()[name]) == []
 
 
+def test_license_sql_on_other_names(spark, tmp_path):
+    from test_rules import RAIL
+
+    from platewise.llm import license_scan
+
+    rows = spark.createDataFrame(list(enumerate(RAIL)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = license_scan.op9_license_scan(spark, str(tmp_path))
+    assert differences(found, connection, queries.oracle_sql()["op9_license_scan"]) == []
+
+
 def test_license_sql_on_planted_lines(spark, tmp_path):
     from test_rules import LICENSES
 
