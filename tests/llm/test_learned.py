@@ -90,6 +90,25 @@ def test_shares_of_all_labels(corpus, monkeypatch):
     assert all(0.5 <= t <= 0.9 for t in net.thresholds.values())
 
 
+def test_a_very_long_document_does_not_end_the_sample(spark, corpus, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 60_000)
+    docs, labels = corpus
+    usual = toxicity.learning_sample(docs, labels)[0]
+    first = labels.filter("toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 3 != 1")
+    long = first.orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    text = F.when(F.col("doc_id") == long, F.lit("ka " * 60_001)).otherwise(F.col("text"))
+    sample = toxicity.learning_sample(docs.withColumn("text", text), labels)[0]
+    assert len(sample.toxic) == len(usual.toxic) - 1 > 500
+
+
+def test_no_network_is_reported(corpus, monkeypatch):
+    docs, labels = corpus
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 0)
+    with pytest.warns(RuntimeWarning, match="no network"):
+        scored = toxicity.score_documents(docs, labels)
+    assert scored.filter("score != 0").count() == 0
+
+
 def test_convolution_by_brute_force():
     """Maxima of all filters over a text, computed place by place."""
     rng = np.random.default_rng(1)
