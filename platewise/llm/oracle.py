@@ -167,10 +167,60 @@ def _license_scan() -> str:
         FROM words LEFT JOIN based b USING (doc_id) LEFT JOIN named a USING (doc_id) LEFT JOIN scored USING (doc_id)"""
 
 
+_LEXICAL_SEARCH = rf"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS term FROM documents),
+    docs AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    counts AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM docs),
+    held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM held, counts GROUP BY term),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS term FROM benchmark),
+    scores AS (
+        SELECT a.item_id, h.doc_id,
+            sum(w.w * ((1000000000 * h.tf) // (1000 * h.tf + 20 * (50 + (50 * d.n * c.docs) // c.length))))::BIGINT
+                AS score
+        FROM asked a JOIN held h USING (term) JOIN weights w USING (term) JOIN docs d USING (doc_id), counts c
+        GROUP BY a.item_id, h.doc_id),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+        FROM scores WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+_HARD_NEGATIVES = """
+    WITH vectors AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+            list_inner_product(a.v, r.v)::BIGINT AS score
+        FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.positive_id,
+        (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+        s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM positives p JOIN scores s
+        ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+    QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_rules(),
         "op5_substring_dedup": _SUBSTRING_DEDUP,
         "op8_decontamination": _DECONTAMINATION,
         "op9_license_scan": _license_scan(),
+        "op11_hard_negatives": _HARD_NEGATIVES,
+        "op13_lexical_search": _LEXICAL_SEARCH,
     }

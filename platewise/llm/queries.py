@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from platewise.llm import (
+    bpe_stream,
     decontamination,
+    hard_negatives,
     html_extraction,
     language_id,
+    lexical_search,
     license_scan,
     packing,
     quality_rules,
@@ -35,4 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_html_extraction": html_extraction.op10_html_extraction,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_bpe_stream": bpe_stream.op12_bpe_stream,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }

@@ -1,10 +1,12 @@
 """Token ids of whole texts by a byte-level tokenizer, with caches of what it gave.
 
-A text is cut before every blank or line feed that a visible character follows. A
-byte-level pattern gives the last character of white space to what follows or makes it a
-piece of its own, so the ids of a text are those of its chunks one after another, and most
-chunks come again and again. A new chunk is split by the tokenizer's pattern, and the model
-is asked for new pieces only. Texts with longer white space are cut before all of it.
+Texts are cut before every blank or line feed that follows a visible character, and where
+ASCII letters, digits and signs meet. A byte-level pattern gives the last character of white
+space to what follows or makes it a piece of its own, and keeps those three apart, so the ids of
+a text are those of its chunks one after another. Each distinct
+chunk of a batch of texts is encoded once, and its ids are laid out for all its places at once;
+most chunks come again in later batches. A new chunk is split by the tokenizer's pattern, and
+the model is asked for new pieces only.
 """
 
 from __future__ import annotations
@@ -13,14 +15,22 @@ import os
 import re
 from array import array
 
+import numpy as np
 import regex
 
+from platewise.llm.words import distinct, spread
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Chunks, and pieces, of each of the two generations that a worker keeps: at more, the
 #: older goes and what comes again is taken over. Only speed depends on it.
-CACHED = 300_000
-
-_CUT = regex.compile(r"(?<=\S)(?=[ \n])")
+CACHED = 500_000
+#: Longer chunks and pieces are not kept.
+CACHED_BYTES = 128
+#: Texts are encoded together up to so many bytes, a longer one in blocks of them.
+BLOCK_BYTES = 4 << 20
+
+#: A place where a text may be cut, found from bytes alone.
+_CUT = re.compile(rb"(?<=[\x21-\x7e])[ \n]")
 #: Characters on whose class every Unicode version agrees.
 _PLAIN = regex.compile(r"[\x00-\u024f]*")
 #: The tokenizer's pattern for ASCII text.
@@ -29,43 +39,60 @@ _ASCII = re.compile(
 )
 
 
-class _LongerSpace(Exception):
-    """White space of more than one character."""
-
+class Kept(dict):
+    """What ``make`` gives, kept for short keys, in two generations."""
 
-class _Chunks(dict):
-    """Ids by chunk, without its blank; a line feed stays."""
+    def __init__(self, make, before: dict | None = None) -> None:
+        self.make, self.before = make, before or {}
 
-    def __init__(self, ids, before: dict) -> None:
-        self.ids, self.before = ids, before
-
-    def __missing__(self, part: str) -> bytes:
-        found = self.before.get(part)
+    def __missing__(self, key):
+        found = self.before.get(key)
         if found is None:
-            if not part or (part[0].isspace() and (part[0] != "\n" or not part[1:2].strip())):
-                raise _LongerSpace
-            found = self.ids(part if part[0] == "\n" else " " + part)
-        self[part] = found
+            found = self.make(key)
+        if len(key) <= CACHED_BYTES:
+            self[key] = found
         return found
 
+    def bounded(self, most: int) -> Kept:
+        """This, or a new generation if there are more entries."""
+        return Kept(self.make, dict(self)) if len(self) > most else self
 
-class _Pieces(dict):
-    """Ids by piece."""
 
-    def __init__(self, before: dict) -> None:
-        self.before = before
+def _class(byte: int) -> int:
+    """1 for letters, 2 for digits, 3 for signs that are pieces whatever follows; else 0."""
+    if not 33 <= byte <= 126 or byte == 39:
+        return 0
+    return 1 if chr(byte).isalpha() else 2 if chr(byte).isdigit() else 3
 
-    def __missing__(self, piece: str) -> bytes | None:
-        found = self.before.get(piece)
-        if found is not None:
-            self[piece] = found
-        return found
 
+_CLASS = np.array([_class(b) for b in range(256)], np.uint8)
 
-def default_path() -> str:
-    import public_tokenizers
 
-    return public_tokenizers.path(DEFAULT_TOKENIZER)
+def class_changes(raw: np.ndarray) -> np.ndarray:
+    """Where a letter, digit or sign of ASCII follows one of another of these classes."""
+    kind = _CLASS[raw]
+    out = np.zeros(len(raw), bool)
+    out[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    return out
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Which places may be cut: before blanks and line feeds that follow a visible character, and
+    between letters, digits and signs of ASCII, which the pattern never puts in one piece, but
+    beside no apostrophe. Where the character before a blank may be white space beyond ASCII
+    there is no cut, which is always right."""
+    cut = class_changes(raw)
+    at = np.flatnonzero((raw == 32) | (raw == 10))
+    at = at[at > 0]
+    last = raw[at - 1]
+    visible = (last > 32) & (last != 127)
+    high = np.flatnonzero(last >= 128)
+    before = at[high]
+    # Lead bytes of all white space beyond ASCII.
+    two, three = raw[np.maximum(before - 2, 0)], raw[np.maximum(before - 3, 0)]
+    visible[high] = (two != 0xC2) & ((three < 0xE1) | (three > 0xE3))
+    cut[at[visible]] = True
+    return cut
 
 
 class Encoder:
@@ -81,65 +108,86 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         step = described.get("pre_tokenizer") or {}
-        #: Whether pieces can be cut here; otherwise the library cuts each chunk.
+        #: Whether pieces can be cut here; otherwise the library gets whole texts.
         self.byte_level = (
             step.get("type") == "ByteLevel"
             and step.get("use_regex", True)
             and not step.get("add_prefix_space")
             and described.get("normalizer") is None
         )
-        self.added = [t["content"] for t in described.get("added_tokens", [])]
+        self.added = [t["content"].encode() for t in described.get("added_tokens", [])]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans(byte_letters())
         self.blank = chr(self.letters[32])
-        self.chunks = _Chunks(self._ids, {})
-        self.pieces = _Pieces({})
+        self.chunks = Kept(self._chunk)
+        self.pieces = Kept(self._piece)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            if len(self.chunks) > CACHED:
-                self.chunks = _Chunks(self._ids, dict(self.chunks))
-            if len(self.pieces) > CACHED:
-                self.pieces = _Pieces(dict(self.pieces))
-            out.append(self._encode(text))
-        return out
-
-    def _encode(self, text: str) -> bytes:
-        if not self.byte_level or any(a in text for a in self.added):
-            return self._whole(text)
-        parts = text.replace("\n", " \n").split(" ")
-        first = self._ids(parts[0])
-        try:
-            return first + b"".join(map(self.chunks.__getitem__, parts[1:]))
-        except _LongerSpace:
-            return b"".join(map(self._ids, _CUT.split(text)))
+        plain = [self.byte_level and not any(a in t for a in self.added) for t in texts]
+        short = [i for i, t in enumerate(texts) if plain[i] and len(t) <= BLOCK_BYTES]
+        out = dict(zip(short, self._together([texts[i] for i in short]), strict=True))
+        for i, text in enumerate(texts):
+            if not plain[i]:
+                out[i] = self._whole(text.decode())
+            elif i not in out:
+                out[i] = b"".join([self._together([b])[0] for b in _blocks(text)])
+        return [out[i] for i in range(len(texts))]
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        self.chunks, self.pieces = self.chunks.bounded(CACHED), self.pieces.bounded(CACHED)
+        joined = b"".join(texts)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        edge = np.append(cuts(np.frombuffer(joined, np.uint8)), True)
+        edge[0] = True
+        edge[ends] = True
+        places = np.flatnonzero(edge)
+        chunks, which = distinct(joined, places)
+        ids, n = spread([self.chunks[c] for c in chunks], which)
+        # Ids before each place, and so before the end of each text.
+        before = np.concatenate([[0], np.cumsum(n)])
+        stops = before[np.searchsorted(places, ends)] * 4
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=False)]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _ids(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            found = _ASCII.findall(chunk)
-            plain = chunk.isprintable()
-        elif _PLAIN.fullmatch(chunk):
-            found, plain = self.pattern.findall(chunk), False
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if text.isascii():
+            found = _ASCII.findall(text)
+        elif _PLAIN.fullmatch(text):
+            found = self.pattern.findall(text)
         else:
-            return self._whole(chunk)
-        out = []
-        for piece in found:
-            ids = self.pieces[piece]
-            if ids is None:
-                letters = (
-                    piece.replace(" ", self.blank)
-                    if plain
-                    else piece.encode().decode("latin-1").translate(self.letters)
-                )
-                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-                self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+            return self._whole(text)
+        if len(found) == 1:
+            return self._piece(text)
+        return b"".join([self.pieces[p] for p in found])
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", self.blank)
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+
+def _blocks(text: bytes) -> list[bytes]:
+    """The text in blocks, each ending where it may be cut."""
+    out, begin = [], 0
+    while begin < len(text):
+        cut = _CUT.search(text, begin + BLOCK_BYTES)
+        end = cut.start() if cut else len(text)
+        out.append(text[begin:end])
+        begin = end
+    return out
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
 def byte_letters() -> dict[int, int]:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -17,6 +18,24 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _BLOCK = 1 << 19
 
 
+def distinct(data: bytes | np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ones of the runs of bytes between ``offsets``, and which of them each is."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+    runs = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers).dictionary_encode()
+    return runs.dictionary.to_pylist(), runs.indices.to_numpy()
+
+
+def spread(parts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a sequence of parts, given by number, from the ids of each part as 32-bit
+    integers; and how many ids each element of the sequence has."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    values = np.frombuffer(b"".join(parts), "<u4")
+    first = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    at = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return values[at], n
+
+
 def table_of(word_byte, lower: bool) -> bytes:
     """256 bytes for ``bytes.translate``: separators become a blank, words stay."""
     out = bytearray(b" " * 256)
