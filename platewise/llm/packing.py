@@ -15,6 +15,7 @@ separate documents. Tables without rows give no sequence.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +30,10 @@ from pyspark.sql import types as T
 
 from platewise.llm import tokens
 from platewise.llm.common import arrow_schema, importable, replaced, slices, staged, with_columns
-from platewise.llm.token_files import with_crc32
 
 CAPACITY = 2048
+#: What a piece carries of its ids.
+KEPT = {"ids": "array<int>", "ids_crc32": "long"}
 
 
 @dataclass
@@ -90,18 +92,21 @@ def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]
     return runs
 
 
-PIECES = (
-    "doc_id long, start long, length int, doc_tokens long, ids array<int>, part int, local_rank long"
-)
+PIECES = "doc_id long, start long, length int, doc_tokens long, part int, local_rank long"
 
 
 def pieces_of(
-    docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 1
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    tokenizer: str | None = None,
+    end_id: int = 1,
+    keep: str = "ids",
 ) -> DataFrame:
-    """Pieces with their ids. ``local_rank`` counts pieces of equal length in a task.
+    """Pieces with their ``ids``, or with the unsigned crc32 of the ids (``keep`` is
+    ``"ids_crc32"``). ``local_rank`` counts pieces of equal length in a task.
 
     The rows are staged before anything is counted, so ranks never change."""
-    schema = T.StructType.fromDDL(PIECES)
+    schema = T.StructType.fromDDL(f"{PIECES}, {keep} {KEPT[keep]}")
     cut = partial(
         _cut,
         path=tokenizer or tokens.default_path(),
@@ -119,8 +124,8 @@ def _cut(
     encoder = tokens.encoder(path)
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = np.array([end_id], np.uint32).tobytes()
-    for batch, texts in slices(batches, "text"):
-        ids = [x + end for x in encoder.encode([t.decode() for t in texts])]
+    for batch, texts in slices(batches, "text", tokens.BLOCK_BYTES):
+        ids = [x + end for x in encoder.encode(texts)]
         n = np.array([len(x) // 4 for x in ids], np.int64)
         pieces = -(-n // capacity)
         row = np.repeat(np.arange(len(n)), pieces)
@@ -132,24 +137,30 @@ def _cut(
         rank = np.empty(len(order), np.int64)
         rank[order] = seen[ordered] + within
         seen += np.bincount(length, minlength=capacity + 1)
-        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-        values = np.frombuffer(b"".join(ids), np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").take(pa.array(row)),
                 pa.array(start),
                 pa.array(length.astype(np.int32)),
                 pa.array(n[row]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(
-                    schema.field("ids").type
-                ),
                 pa.array(np.full(len(row), part, np.int32)),
                 pa.array(rank),
+                _kept(b"".join(ids), length, schema.field(-1)),
             ],
             schema=schema,
         )
 
 
+def _kept(ids: bytes, length: np.ndarray, field: pa.Field) -> pa.Array:
+    """Lists of ids, or their checksums, of pieces that lie one after another."""
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    if field.name == "ids":
+        values = pa.array(np.frombuffer(ids, np.int32))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values).cast(field.type)
+    view, at = memoryview(ids), (offsets * 4).tolist()
+    return pa.array([zlib.crc32(view[a:b]) for a, b in zip(at, at[1:], strict=False)], field.type)
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (part, length, local_rank, ...).
 
@@ -238,11 +249,8 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 1) -> D
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
-    """The packed pieces with a checksum of their ids in place of the ids.
-
-    Ids are digested where they lie; only the narrow columns are shuffled."""
-    pieces = pieces_of(docs)
-    return place(with_crc32(pieces, "ids", "ids_crc32"))
+    """The packed pieces with a checksum of their ids in place of the ids."""
+    return place(pieces_of(docs, keep="ids_crc32"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
