@@ -114,8 +114,8 @@ def _encode(
 ) -> Iterator[pa.RecordBatch]:
     encoder = tokens.encoder(path)
     shard, start = TaskContext.get().partitionId(), 0
-    for batch, texts in slices(batches, "text"):
-        ids = encoder.encode([t.decode() for t in texts])
+    for batch, texts in slices(batches, "text", tokens.BLOCK_BYTES):
+        ids = encoder.encode(texts)
         n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
         ends = np.cumsum(n)
         end = np.array([end_id], np.uint32).tobytes()
