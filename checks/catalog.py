@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.functions import text
@@ -13,7 +13,7 @@ from platewise.plans import jobs
 from platewise.schema import RUN_FIELDS, WELLS
 from platewise.session import scratch_folder
 from checks import plate_events
-from platewise.sources import tables, workbooks
+from platewise.sources import publishing, tables, workbooks
 
 # The sample types the mapping of events gives, for tables with a column per type.
 SAMPLE_TYPES = [
@@ -25,6 +25,9 @@ SAMPLE_TYPES = [
     "Unknown",
 ]
 
+# Runs that a reader asks for by name; the last one does not exist.
+SELECTED_RUNS = ["run_000000", "run_000003", "run_000021", "no such run"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -166,23 +169,49 @@ def _load_parsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load_parsed_files(spark, folder, "*.txt")
 
 
+def content_digest(df: DataFrame) -> DataFrame:
+    """Number of rows, and the sum over them of the first 32 bits of the md5 of their values as
+    text, columns in order of name; numbers with a point count in millionths."""
+
+    def shown(field) -> Column:
+        value = F.col(f"`{field.name}`")
+        if field.dataType.simpleString() == "double":
+            value = F.round(value * 1_000_000).cast("bigint")
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    line = F.concat_ws("|", *[shown(f) for f in sorted(df.schema, key=lambda f: f.name)])
+    first = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(first), F.lit(0)).alias("content"))
+
+
 def _write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all tables, read them back, and count their rows."""
+    """Publish all tables, resolve the published set, and digest what its tables hold."""
     folder = scratch_folder(spark)
     tables.write_wells(full(spark, sf_dir), f"{folder}/parsed")
     written = jobs.write_outputs(spark, tables.load_wells(spark, f"{folder}/parsed"), f"{folder}/out")
-    counts = [
-        spark.read.parquet(f"{folder}/out/{name}")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(F.lit(name).alias("table_name"), "n_rows")
+    digests = [
+        content_digest(publishing.published(spark, f"{folder}/out", name)).select(
+            F.lit(name).alias("table_name"), "n_rows", "content"
+        )
         for name in written
     ]
-    result = counts[0]
-    for one in counts[1:]:
+    result = digests[0]
+    for one in digests[1:]:
         result = result.unionByName(one)
     return result
 
 
+def _load_selected_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_folder(spark)}/wells"
+    tables.write_wells(full(spark, sf_dir), folder)
+    return tables.load_runs(spark, folder, SELECTED_RUNS)
+
+
+def _plate_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = clean(spark, sf_dir)
+    return plates.plate_accounting(base, plates.split_by_place(base, f"{scratch_folder(spark)}/plate_wells"))
+
+
 def _select(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return lambda spark, sf_dir: operator(clean(spark, sf_dir)).select("run_id", "row_idx", *columns)
 
@@ -201,6 +230,7 @@ def queries() -> dict[str, Query]:
         "load_runs": _load_runs("parquet"),
         "load_runs_csv": _load_runs("csv"),
         "load_parsed_runs": _load_parsed_runs,
+        "load_selected_runs": _load_selected_runs,
         "write_outputs": _write_outputs,
         # row-wise steps
         "sample_type": _select(lambda w: w, "sample_label", "sample_type", "sample_label_clean"),
@@ -211,6 +241,7 @@ def queries() -> dict[str, Query]:
         "has_target_cq": _has_target_cq,
         "well_position": _select(plates.well_position, "well", "plate_row", "plate_col", "on_plate"),
         "off_plate_wells": _on_clean(plates.off_plate_wells),
+        "plate_accounting": _plate_accounting,
         "plate_order": _select(plates.plate_order, "well", "order_row", "order_col"),
         "well_label": _on_clean(lambda w: feeds.well_labels(w).select("run_id", "row_idx", "well", "label")),
         "result_code": _on_clean(

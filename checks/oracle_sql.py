@@ -101,6 +101,17 @@ _CTES = {
                round_even(round(stddev_samp(m) * 100 / avg(m), 9), 1) AS cv_pct
         FROM (SELECT run_id, sample_type, avg(target_cq) AS m FROM plotted GROUP BY run_id, sample_type)
         GROUP BY sample_type HAVING count(*) >= 2""",
+    "controls": r"""
+        SELECT trim(content) AS ctrl_type, count(well) AS n_controls,
+               count(*) FILTER (lower(trim(result)) = 'valid ctrl') AS n_valid,
+               round_even(round(avg(target_cq), 9), 3) AS mean_target_cq,
+               round_even(round(stddev_samp(target_cq), 9), 3) AS sd_target_cq,
+               round_even(round(avg(ic_cq), 9), 3) AS mean_ic_cq,
+               round_even(round(stddev_samp(ic_cq), 9), 3) AS sd_ic_cq
+               FROM clean WHERE is_control GROUP BY 1""",
+    "compared": r"""
+        SELECT run_id, sample_type, count(*) FILTER (is_positive) AS n_positive, count(*) AS n_wells
+        FROM samples GROUP BY run_id, sample_type""",
     "positioned": r"""
         SELECT *, nullif(regexp_extract(upper(trim(well)), '^([A-H])([0-9]+)', 1), '') AS plate_row,
                CAST(nullif(regexp_extract(upper(trim(well)), '^([A-H])([0-9]+)', 2), '') AS INTEGER) AS plate_col,
@@ -218,19 +229,41 @@ def _layout_columns() -> str:
     return ", ".join(labels + classes)
 
 
-def _counts() -> str:
-    """Rows of every written table."""
-    sources = {
-        "qc_flags": "flags",
-        "all_runs_combined": "wells",
-        "summary_statistics": "stats",
-        "run_comparison": "(SELECT DISTINCT run_id, sample_type FROM samples)",
-        "control_statistics": "(SELECT DISTINCT trim(content) FROM clean WHERE is_control)",
-        "interrun_cv": "cv",
-    }
-    return " UNION ALL ".join(
-        f"SELECT '{table}' AS table_name, count(*) AS n_rows FROM {source}" for table, source in sources.items()
-    )
+# Columns of the written tables, in order of name; those that are doubles end in "#".
+_WRITTEN = {
+    "qc_flags": ("flags", "flag_reason run_id sample_type well"),
+    "all_runs_combined": (
+        "annotated",
+        "assay_name content extraction_lot ic_cq# is_control lot_number qc_flag replicate result row_idx run_date"
+        " run_id sample_label sample_label_clean sample_type sq# target_cq# well",
+    ),
+    "summary_statistics": (
+        "stats",
+        "max_target_cq# mean_ic_cq# mean_target_cq# min_target_cq# n_negative n_positive n_target_cq n_wells"
+        " positivity_rate_pct# sample_type sd_ic_cq# sd_target_cq#",
+    ),
+    "run_comparison": ("compared", "n_positive n_wells run_id sample_type"),
+    "control_statistics": (
+        "controls", "ctrl_type mean_ic_cq# mean_target_cq# n_controls n_valid sd_ic_cq# sd_target_cq#"
+    ),
+    "interrun_cv": ("cv", "cv_pct# mean_cq# n_runs sample_type sd_cq#"),
+}
+
+
+def _written() -> str:
+    """Rows and contents of every written table."""
+
+    def digest(table: str, source: str, columns: str) -> str:
+        shown = ", ".join(
+            f"coalesce(CAST({f'CAST(round({c[:-1]} * 1000000) AS BIGINT)' if c.endswith('#') else c} AS VARCHAR), '~')"
+            for c in columns.split()
+        )
+        return (
+            f"SELECT '{table}' AS table_name, count(*) AS n_rows, CAST(coalesce(sum(CAST('0x' ||"
+            f" substr(md5(concat_ws('|', {shown})), 1, 8) AS BIGINT)), 0) AS BIGINT) AS content FROM {source}"
+        )
+
+    return " UNION ALL ".join(digest(t, *what) for t, what in _WRITTEN.items())
 
 
 _PATH = "'file:/exports/' || run_id || '.xlsx' AS path"
@@ -267,10 +300,11 @@ def oracle_sql() -> dict[str, str]:
                    run_no % 20 <> 19 AS passed
             FROM exported GROUP BY run_id, run_no""",
         "load_runs": wells,
+        "load_selected_runs": "SELECT * FROM wells WHERE run_id IN ('run_000000', 'run_000003', 'run_000021')",
         # a CSV file does not tell an empty text from an absent one
         "load_runs_csv": "SELECT * REPLACE (nullif(sample_label, '') AS sample_label) FROM wells",
         "load_parsed_runs": "SELECT * REPLACE (nullif(sample_label, '') AS sample_label) FROM wells",
-        "write_outputs": _counts(),
+        "write_outputs": _written(),
         "sample_type": "SELECT run_id, row_idx, sample_label, sample_type, sample_label_clean FROM clean",
         "is_control": "SELECT run_id, row_idx, content, is_control FROM clean",
         "numeric_coerce": "SELECT run_id, row_idx, target_cq, ic_cq, sq FROM clean",
@@ -284,6 +318,17 @@ def oracle_sql() -> dict[str, str]:
         "off_plate_wells": """
             SELECT run_id, row_idx, well FROM positioned
             WHERE plate_row IS NULL OR plate_col NOT BETWEEN 1 AND 12""",
+        "plate_accounting": """
+            SELECT run_id, CAST(sum(n_rows) AS BIGINT) AS n_wells, CAST(sum(n_rows) FILTER (inside) AS BIGINT) AS n_claims,
+                   count(*) FILTER (inside) AS n_places,
+                   CAST(sum(n_rows - 1) FILTER (inside) AS BIGINT) AS n_hidden,
+                   CAST(coalesce(sum(n_rows) FILTER (NOT inside), 0) AS BIGINT) AS n_off_plate, true AS balanced
+            FROM (SELECT run_id, inside, CASE WHEN inside THEN plate_row END AS r, CASE WHEN inside THEN plate_col END AS c,
+                         count(*) AS n_rows
+                  FROM (SELECT *, coalesce(plate_row IS NOT NULL AND plate_col BETWEEN 1 AND 12, false) AS inside
+                        FROM positioned)
+                  GROUP BY ALL)
+            GROUP BY run_id""",
         "plate_order": """
             SELECT run_id, row_idx, well, coalesce(plate_row, 'Z') AS order_row, coalesce(plate_col, 999) AS order_col
             FROM positioned""",
@@ -308,14 +353,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT run_id AS "Run ID", well AS "Well", sample_type AS "Sample Type", flag_reason AS "Flag Reason"
             FROM flags""",
         "sample_type_stats": "SELECT * FROM stats",
-        "control_stats": """
-            SELECT trim(content) AS ctrl_type, count(well) AS n_controls,
-                   count(*) FILTER (lower(trim(result)) = 'valid ctrl') AS n_valid,
-                   round_even(round(avg(target_cq), 9), 3) AS mean_target_cq,
-                   round_even(round(stddev_samp(target_cq), 9), 3) AS sd_target_cq,
-                   round_even(round(avg(ic_cq), 9), 3) AS mean_ic_cq,
-                   round_even(round(stddev_samp(ic_cq), 9), 3) AS sd_ic_cq
-            FROM clean WHERE is_control GROUP BY 1""",
+        "control_stats": "SELECT * FROM controls",
         "key_metrics": """
             SELECT count(DISTINCT run_id) AS n_runs, count(*) FILTER (NOT is_control) AS n_samples,
                    count(*) FILTER (NOT is_control AND is_positive) AS n_positive,
@@ -365,9 +403,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN f.well IS NOT NULL THEN 'ic_failure' END AS ic_status
             FROM wells w LEFT JOIN ic_failed f ON f.run_id = w.run_id AND f.well = w.well""",
         "interrun_cv": "SELECT * FROM cv",
-        "run_comparison_long": """
-            SELECT run_id, sample_type, count(*) FILTER (is_positive) AS n_positive, count(*) AS n_wells
-            FROM samples GROUP BY run_id, sample_type""",
+        "run_comparison_long": "SELECT * FROM compared",
         "run_positivity_long": """
             SELECT run_id, sample_type, round(100e0 * count(*) FILTER (is_positive) / count(*), 9) AS positivity_pct
             FROM samples WHERE (SELECT count(DISTINCT run_id) FROM clean) >= 2 GROUP BY run_id, sample_type""",

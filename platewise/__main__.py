@@ -1,7 +1,8 @@
 """Command line: ``python -m platewise <step> <input folder> <output folder>``.
 
 Steps: ``check`` and ``parse`` read spreadsheet exports and end with 1 if a file is unfit; ``analyze`` reads parsed
-wells; ``charts`` and ``report`` read the same wells and what ``analyze`` wrote.
+wells; ``charts`` and ``report`` read the same wells and add to the tables that ``analyze`` published.
+Each step publishes its tables together and prints where they are.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import argparse
 
 from platewise.plans import jobs
 from platewise.session import build_session
+from platewise.sources.publishing import table_path
 from platewise.sources.tables import load_parsed_files, load_wells
 
 
@@ -18,13 +20,14 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("step", choices=["check", "parse", "analyze", "charts", "report"])
     parser.add_argument("input")
     parser.add_argument("output")
-    parser.add_argument("--format", default="parquet", choices=["parquet", "csv"], help="format of result tables")
+    parser.add_argument("--format", default="parquet", choices=["parquet", "csv", "csv-files"], help="format of result tables; csv-files gives small ones as one file each")
     parser.add_argument(
         "--input-format",
         default="parquet",
         choices=["parquet", "csv", "parsed-csv"],
         help="wells as written by parse, or a folder of *_parsed.csv files",
     )
+    parser.add_argument("--types", nargs="*", default=None, help="analyze: sample types for the wide comparison of runs")
     args = parser.parse_args(argv)
     spark = build_session(f"platewise {args.step}")
     if args.step == "check":
@@ -42,8 +45,9 @@ def main(argv: list[str] | None = None) -> int:
         "charts": jobs.write_chart_tables,
         "report": jobs.write_report_tables,
     }[args.step]
-    for name in step(spark, wells, args.output, args.format):
-        print(name)
+    more = {"types": args.types} if args.step == "analyze" and args.types else {}
+    for name in step(spark, wells, args.output, args.format, **more):
+        print(name, table_path(spark, args.output, name)[0], sep="\t")
     return 0
 
 

@@ -29,8 +29,43 @@ def placed_wells(wells: DataFrame) -> DataFrame:
 
 
 def off_plate_wells(wells: DataFrame) -> DataFrame:
-    """Wells the grids leave out: no position, or one outside A1 to H12."""
-    return wells.filter(~plate.on_plate(F.col("well"))).select("run_id", "row_idx", "well")
+    """Wells the grids leave out: no position, or one outside A1 to H12. Of wells that
+    ``split_by_place`` wrote only these are read."""
+    on_plate = F.col("on_plate") if "on_plate" in wells.columns else plate.on_plate(F.col("well"))
+    return wells.filter(~on_plate).select("run_id", "row_idx", "well")
+
+
+def split_by_place(wells: DataFrame, folder: str) -> DataFrame:
+    """Writes what grids need of the wells, those on the plate and those off it apart, in one
+    pass, and gives it back. Each of the two is read without the other."""
+    columns = ["run_id", "row_idx", "well", "content", "sample_label", "target_cq", "result"]
+    marked = wells.select(*columns, plate.on_plate(F.col("well")).alias("on_plate"))
+    marked.write.mode("overwrite").partitionBy("on_plate").parquet(folder)
+    schema = marked.schema
+    return wells.sparkSession.read.schema(schema).parquet(folder)
+
+
+def plate_accounting(wells: DataFrame, placed: DataFrame) -> DataFrame:
+    """Where the wells of each run went: those that claim a plate place, the places they fill,
+    those that a later row of the same place hides, and those off the plate. ``placed`` is
+    what ``split_by_place`` gave; ``balanced`` tells that with it no well of the input is missing.
+    """
+    claims = last_write_wins(placed).select("run_id", F.col("n_rows").alias("n_claims"), F.lit(1).alias("n_places"))
+    none = F.lit(0)
+    parts = [
+        wells.select("run_id", F.lit(1).alias("n_wells"), none.alias("n_claims"), none.alias("n_places"), none.alias("n_off")),
+        claims.select("run_id", none, "n_claims", "n_places", none),
+        off_plate_wells(placed).select("run_id", none, none, none, F.lit(1)),
+    ]
+    together = parts[0].union(parts[1]).union(parts[2])
+    return together.groupBy("run_id").agg(
+        F.sum("n_wells").alias("n_wells"),
+        F.sum("n_claims").alias("n_claims"),
+        F.sum("n_places").alias("n_places"),
+        (F.sum("n_claims") - F.sum("n_places")).alias("n_hidden"),
+        F.sum("n_off").alias("n_off_plate"),
+        (F.sum("n_claims") + F.sum("n_off") == F.sum("n_wells")).alias("balanced"),
+    )
 
 
 def plate_order(wells: DataFrame) -> DataFrame:

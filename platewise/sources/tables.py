@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.text import is_control, nan_to_null, to_number
 from platewise.schema import RUN_FIELDS, WELLS
+from platewise.sources import publishing
 
 # Keep blanks around texts and line breaks inside them; double a quote to escape it.
 _CSV = {
@@ -22,6 +23,14 @@ _CSV = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+#: How wells in run order are written: row groups of a few thousand plates.
+_RUN_ORDER = {
+    "parquet.block.size": 16 << 20,
+    "parquet.bloom.filter.enabled#run_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.enable.dictionary#run_id": "false",
+}
+
 #: Rows of a parsed file that a worker holds at a time.
 BATCH_ROWS = 4096
 
@@ -29,7 +38,10 @@ _TEXT_NEVER_NULL = [*RUN_FIELDS, "sample_label_clean"]
 
 
 def load_wells(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
-    """Wells written by ``write_table``, with the fixed schema and by column name."""
+    """Wells written by ``write_wells``, with the fixed schema and by column name. ``folder`` is
+    that table, or an output folder with a published set that has ``wells``."""
+    if publishing.current(spark, folder) is not None:
+        folder, fmt = publishing.table_path(spark, folder, "wells")
     if fmt == "parquet":
         return spark.read.schema(WELLS).parquet(folder)
     return _typed(spark.read.options(**_CSV, multiLine=True, enforceSchema=False).csv(folder))
@@ -98,6 +110,25 @@ def write_table(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(folder)
 
 
+def table_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_one_file(df: DataFrame, path: str) -> None:
+    """Write a small result table as one CSV file of exactly that name."""
+    spark = df.sparkSession
+    parts = f"{path}__parts"
+    df.coalesce(1).write.mode("overwrite").options(**_CSV).csv(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(parts)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    fs.delete(hadoop.Path(path), True)
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(folder, True)
+
+
 def remove_table(spark: SparkSession, folder: str) -> None:
     """Remove a table of an earlier run, if there is one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -105,9 +136,47 @@ def remove_table(spark: SparkSession, folder: str) -> None:
 
 
 def write_wells(wells: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Write the table of wells, each file in run order.
+    """Write the table of wells in run order across its files, and beside it, as
+    ``<folder>_files``, the runs that each file spans.
 
-    Parquet statistics then let a filter on runs skip most row groups. A folder
-    per run would mean millions of tiny files, so there is none.
+    Rows are dealt into ranges of (run, row), so a run lies in one file, or in
+    neighbouring ones if it is large: a run of a third of all wells is spread over a third
+    of the files. A folder per run would mean millions of tiny files. Within a file, small row
+    groups with statistics and a Bloom filter let a filter on runs skip the others.
     """
-    write_table(wells.sortWithinPartitions("run_id", "row_idx"), folder, fmt)
+    remove_table(wells.sparkSession, f"{folder}_files")
+    ordered = wells.repartitionByRange("run_id", "row_idx").sortWithinPartitions("run_id", "row_idx")
+    if fmt != "parquet":
+        write_table(ordered, folder, fmt)
+        return
+    writer = ordered.write.mode("overwrite").options(**_RUN_ORDER)
+    writer.parquet(folder)
+    write_table(file_spans(wells.sparkSession.read.schema(WELLS).parquet(folder)), f"{folder}_files")
+
+
+def file_spans(wells: DataFrame) -> DataFrame:
+    """First and last run and number of rows of each file; reads the run column only. Runs
+    without an id are counted apart."""
+    return wells.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.min("run_id").alias("first_run"),
+        F.max("run_id").alias("last_run"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("run_id").isNull()).alias("n_without_run"),
+    )
+
+
+def load_runs(spark: SparkSession, folder: str, run_ids: list[str]) -> DataFrame:
+    """The wells of some runs. Only files that may hold one of them are opened, as far as
+    ``write_wells`` left their spans; there are as many of these as the runs fill, and one
+    or two more for each run."""
+    wanted = F.col("run_id").isin(run_ids)
+    if publishing.current(spark, folder) is not None:
+        folder = publishing.table_path(spark, folder, "wells")[0]
+    if not table_exists(spark, f"{folder}_files"):
+        return load_wells(spark, folder).filter(wanted)
+    asked = F.array(*[F.lit(r) for r in run_ids]) if run_ids else F.array().cast("array<string>")
+    inside = F.exists(asked, lambda r: r.between(F.col("first_run"), F.col("last_run")))
+    paths = [r["path"] for r in spark.read.parquet(f"{folder}_files").filter(inside).select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], WELLS)
+    return spark.read.schema(WELLS).parquet(*paths).filter(wanted)

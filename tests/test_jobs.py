@@ -5,7 +5,8 @@ import csv
 import pytest
 
 from platewise.__main__ import main
-from platewise.sources import tables
+from platewise.sources import publishing, tables
+from platewise.sources.publishing import published
 from checks.xlsx_encode import encode
 
 HEADER = ["Well", "Content", "Sample", "Cq", "I.C. Cq", "SQ", "Result"]
@@ -25,13 +26,30 @@ def test_steps(spark, exports, tmp_path):
     out = str(tmp_path / "out")
     assert main(["check", str(exports), f"{out}/check"]) == 0
     assert main(["parse", str(exports), f"{out}/parsed"]) == 0
-    wells = spark.read.parquet(f"{out}/parsed/wells")
+    wells = published(spark, f"{out}/parsed", "wells")
     assert sorted({r.run_id for r in wells.collect()}) == ["run 1", "run 2"]
     for step in ("analyze", "charts", "report"):
-        assert main([step, f"{out}/parsed/wells", f"{out}/tables", "--format", "csv"]) == 0
-    cv = spark.read.option("header", True).csv(f"{out}/tables/interrun_cv").collect()
+        assert main([step, f"{out}/parsed", f"{out}/tables", "--format", "csv"]) == 0
+    cv = published(spark, f"{out}/tables", "interrun_cv", header=True).collect()
     assert [tuple(r) for r in cv] == [("S_1", "2", "21.5", "0.707", "3.3")]
-    assert spark.read.option("header", True).csv(f"{out}/tables/plate_layout").count() == 16
+    assert published(spark, f"{out}/tables", "plate_layout", header=True).count() == 16
+    assert published(spark, f"{out}/tables", "plate_accounting", header=True).filter("balanced = 'true'").count() == 2
+    names = set(publishing.current(spark, f"{out}/tables").tables)
+    assert {"off_plate_wells", "plate_cq_scale", "dimension_lists", "flag_rows", "run_detail"} <= names
+
+
+def test_small_tables_as_files_and_wide_comparison(spark, exports, tmp_path):
+    out = str(tmp_path / "out")
+    assert main(["parse", str(exports), f"{out}/parsed"]) == 0
+    arguments = ["--format", "csv-files", "--types", "S_1", "other"]
+    assert main(["analyze", f"{out}/parsed", f"{out}/tables", *arguments]) == 0
+    path, _ = publishing.table_path(spark, f"{out}/tables", "summary_statistics")
+    with open(path) as f:
+        rows = list(csv.DictReader(f))
+    assert path.endswith("/summary_statistics.csv") and [r["sample_type"] for r in rows] == ["S_1"]
+    wide = published(spark, f"{out}/tables", "run_comparison_wide", header=True)
+    assert wide.count() == 2 and any("S_1" in c for c in wide.columns)
+    assert published(spark, f"{out}/tables", "run_comparison_left_out", header=True).count() == 0
 
 
 def test_check_fails_on_issues(spark, exports, tmp_path):
@@ -87,7 +105,7 @@ def test_parse_fails_on_unfit_files(spark, exports, tmp_path):
     assert main(["parse", str(folder), str(tmp_path / "good")]) == 0
     (folder / "headless.xlsx").write_bytes(encode([("R", {0: ["x"]}), ("I", {})]))
     assert main(["parse", str(folder), str(tmp_path / "bad")]) == 1
-    assert spark.read.parquet(str(tmp_path / "bad" / "wells")).count() == 4
+    assert published(spark, str(tmp_path / "bad"), "wells").count() == 4
 
 
 def test_types_of_any_name_and_number(spark, make_wells, tmp_path):
@@ -100,20 +118,21 @@ def test_types_of_any_name_and_number(spark, make_wells, tmp_path):
     jobs.write_outputs(spark, wells, str(tmp_path / "out"))
     jobs.write_chart_tables(spark, wells, str(tmp_path / "out"))
     for table in ("run_comparison", "run_positivity"):
-        assert spark.read.parquet(str(tmp_path / "out" / table)).count() == len(names)
+        assert published(spark, str(tmp_path / "out"), table).count() == len(names)
     for clash in (["Manual_Pos", "manual_pos"], ["run_id"], [None]):
         with pytest.raises(ValueError):
             runs.run_comparison(wells, clash)
     assert runs.left_out(wells, names[3:]).count() == 3
 
 
-def test_tables_of_an_earlier_call_are_removed(spark, make_wells, tmp_path):
+def test_tables_of_an_earlier_call_are_not_in_the_set(spark, make_wells, tmp_path):
     from platewise.plans import jobs
 
     control = {"is_control": True, "content": "Pos Ctrl"}
     assert "control_statistics" in jobs.write_outputs(spark, make_wells([{}, control]), str(tmp_path))
     assert "control_statistics" not in jobs.write_outputs(spark, make_wells([{}]), str(tmp_path))
-    assert not (tmp_path / "control_statistics").exists()
+    with pytest.raises(FileNotFoundError):
+        published(spark, str(tmp_path), "control_statistics")
 
 
 def test_combined_table_is_in_run_order(spark, make_wells, tmp_path):
@@ -121,7 +140,7 @@ def test_combined_table_is_in_run_order(spark, make_wells, tmp_path):
 
     wells = make_wells([{"run_id": f"r{i % 7}", "well": f"A{i:02d}"} for i in range(70)]).repartition(5)
     jobs.write_outputs(spark, wells, str(tmp_path))
-    rows = spark.read.parquet(str(tmp_path / "all_runs_combined")).select("run_id", "row_idx").collect()
+    rows = published(spark, str(tmp_path), "all_runs_combined").select("run_id", "row_idx").collect()
     assert [tuple(r) for r in rows] == sorted(tuple(r) for r in rows)
 
 
