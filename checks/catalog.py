@@ -14,6 +14,7 @@ from platewise.schema import RUN_FIELDS, WELLS
 from platewise.session import scratch_folder
 from checks import plate_events
 from platewise.sources import publishing, tables, workbooks
+from platewise.streaming import incremental
 
 # The sample types the mapping of events gives, for tables with a column per type.
 SAMPLE_TYPES = [
@@ -148,8 +149,15 @@ def _load_runs(fmt: str) -> Query:
     return query
 
 
-def _load_parsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One CSV file per run, written and read back; every other run lacks columns."""
+#: Folders of trial files, by application and source: written once, read by every run of the query.
+_TRIAL_FILES: dict[tuple[str, str], str] = {}
+
+
+def _parsed_files(spark: SparkSession, sf_dir: str) -> str:
+    """One CSV file per run; every other run lacks columns."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key in _TRIAL_FILES:
+        return _TRIAL_FILES[key]
     folder = f"{scratch_folder(spark)}/parsed"
     base = full(spark, sf_dir).withColumn("odd", F.regexp_like("run_id", F.lit("[13579]$")))
     names = [c for c in WELLS.names if c != "row_idx"]
@@ -166,7 +174,12 @@ def _load_parsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .write.partitionBy("run_id")
             .text(f"{folder}/{'odd' if odd else 'even'}")
         )
-    return tables.load_parsed_files(spark, folder, "*.txt")
+    _TRIAL_FILES[key] = folder
+    return folder
+
+
+def _load_parsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load_parsed_files(spark, _parsed_files(spark, sf_dir), "*.txt")
 
 
 def content_digest(df: DataFrame) -> DataFrame:
@@ -207,6 +220,41 @@ def _load_selected_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load_runs(spark, folder, SELECTED_RUNS)
 
 
+def _incremental(table: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """The runs come in four batches, dealt by a hash; the last one is repeated."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f"{scratch_folder(spark)}/incremental"
+        base = full(spark, sf_dir)
+        for batch in (0, 1, 2, 3, 3):
+            incremental.add_batch(base.filter(F.pmod(F.xxhash64("run_id"), F.lit(4)) == batch), out, batch)
+        return table(spark, out)
+
+    return query
+
+
+def _sketched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the quartiles of sketches lie within one percent of their rank."""
+    base = clean(spark, sf_dir)
+    boxed = boxes.cq_box_stats(base, sketch_size=800).select("sample_type", "n", "q1", "median", "q3")
+    value = F.col("target_cq")
+    ranked = [
+        column
+        for name in ("q1", "median", "q3")
+        for column in (
+            F.count(F.when(value < F.col(name), F.lit(1))).alias(f"{name}_below"),
+            F.count(F.when(value <= F.col(name), F.lit(1))).alias(f"{name}_upto"),
+        )
+    ]
+    counted = base.filter("not is_control and target_cq is not null").join(boxed, "sample_type").groupBy("sample_type", "n").agg(*ranked)
+
+    def near(name: str, share: float) -> Column:
+        n = F.col("n")
+        return ((F.col(f"{name}_below") <= n * (share + 0.01)) & (F.col(f"{name}_upto") >= n * (share - 0.01))).alias(f"{name}_near")
+
+    return counted.select("sample_type", "n", near("q1", 0.25), near("median", 0.5), near("q3", 0.75))
+
+
 def _plate_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = clean(spark, sf_dir)
     return plates.plate_accounting(base, plates.split_by_place(base, f"{scratch_folder(spark)}/plate_wells"))
@@ -278,6 +326,11 @@ def queries() -> dict[str, Query]:
         "types_left_out": lambda s, d: runs.left_out(clean(s, d), SAMPLE_TYPES).select("run_id", "row_idx", "sample_type"),
         "run_comparison": _on_types(runs.run_comparison),
         "run_positivity_matrix": _on_types(runs.run_positivity_matrix),
+        # runs that come in batches
+        "incremental_stats": _incremental(incremental.sample_type_stats),
+        "incremental_controls": _incremental(incremental.control_stats),
+        "incremental_cv": _incremental(incremental.interrun_cv),
+        "incremental_flags": _incremental(lambda s, o: flags.qc_flags(incremental.flag_rows(s, o))),
         # plates
         "last_write_wins": _on_clean(plates.last_write_wins),
         "plate_result_grid": _on_clean(plates.plate_result_grid),
@@ -290,5 +343,6 @@ def queries() -> dict[str, Query]:
         "cq_by_plate_row": _cq_by_plate_row,
         "cq_by_sample_type": _on_clean(feeds.cq_by_sample_type),
         "cq_box_stats": _on_clean(boxes.cq_box_stats),
+        "cq_box_sketches": _sketched_boxes,
         "interrun_cv_bar": _on_clean(lambda w: runs.interrun_cv_bar(runs.interrun_cv(w))),
     }

@@ -53,10 +53,10 @@ _CTES = {
                        ELSE replace(sample_label_clean, ' ', '_') END AS sample_type
         FROM labelled WHERE well IS NOT NULL""",
     "info": r"""
-        SELECT run_id, '2024-01-01' AS run_date, '' AS assay_name,
+        SELECT DISTINCT run_id, '2024-01-01' AS run_date, '' AS assay_name,
                CASE WHEN run_no % 5 = 0 THEN 'lot_last' ELSE 'lot_' || (run_no % 5) END AS lot_number,
                CASE WHEN run_no % 4 = 0 THEN '' ELSE 'ext_' || run_no END AS extraction_lot, run_no
-        FROM numbered WHERE pos = 0""",
+        FROM numbered""",
     "wells": r"""
         SELECT c.run_id, i.run_date, i.assay_name, i.lot_number, i.extraction_lot, c.well, c.content,
                c.sample_label, c.target_cq, c.ic_cq, c.sq, c.result, c.sample_type, c.sample_label_clean,
@@ -461,6 +461,12 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 2 THEN round(greatest(max(target_cq) FILTER (target_cq <= q3 + 1.5e0 * (q3 - q1)), q3), 9)
                         END AS whisker_high
             FROM plotted JOIN quartiles USING (sample_type) GROUP BY sample_type, n, q1, median, q3""",
+        "cq_box_sketches": """
+            SELECT sample_type, n, true AS q1_near, true AS median_near, true AS q3_near FROM quartiles""",
+        "incremental_stats": "SELECT * FROM stats",
+        "incremental_controls": "SELECT * FROM controls",
+        "incremental_cv": "SELECT * FROM cv",
+        "incremental_flags": f"SELECT {_FLAG_COLUMNS} FROM flags",
         "interrun_cv_bar": """
             SELECT sample_type, cv_pct, printf('%.1f', cv_pct) || '%' AS bar_label, 20e0 AS limit_pct,
                    cv_pct > 20 AS above_limit

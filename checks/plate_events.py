@@ -98,12 +98,15 @@ def raw_results(source: DataFrame) -> DataFrame:
     )
 
 
+def _runs(source: DataFrame) -> DataFrame:
+    return _numbered(source).select("run_no", "run_id").distinct()
+
+
 def run_fields(source: DataFrame) -> DataFrame:
-    """Run information, one row per run (its first event)."""
+    """Run information, one row per run."""
     run_no = F.col("run_no")
     return (
-        _numbered(source)
-        .filter(F.col("pos") == 0)
+        _runs(source)
         .select(
             "run_id",
             F.lit("2024-01-01").alias("run_date"),
@@ -199,8 +202,7 @@ def sheet_rows(source: DataFrame) -> DataFrame:
         F.transform(info, lambda pair_, i: row(1 - results_idx, "Run Information", i, pair_)),
     )
     others = (
-        _numbered(source)
-        .filter(F.col("pos") == 0)
+        _runs(source)
         .select(path.alias("path"), F.explode(per_run).alias("r"))
         .select("path", "r.*")
     )

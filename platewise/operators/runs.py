@@ -98,6 +98,11 @@ def interrun_cv(wells: DataFrame) -> DataFrame:
         .groupBy("run_id", "sample_type")
         .agg(F.avg("target_cq").alias("run_mean_cq"))
     )
+    return cv_of_run_means(per_run)
+
+
+def cv_of_run_means(per_run: DataFrame) -> DataFrame:
+    """The same from the mean of each run and type (run_id, sample_type, run_mean_cq)."""
     mean, sd = F.col("mean_cq"), F.col("sd_cq")
     return (
         per_run.groupBy("sample_type")

@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-from itertools import islice
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.text import is_control, nan_to_null, to_number
@@ -31,9 +25,6 @@ _RUN_ORDER = {
     "parquet.enable.dictionary#run_id": "false",
 }
 
-#: Rows of a parsed file that a worker holds at a time.
-BATCH_ROWS = 4096
-
 _TEXT_NEVER_NULL = [*RUN_FIELDS, "sample_label_clean"]
 
 
@@ -50,36 +41,55 @@ def load_wells(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFr
 def load_parsed_files(spark: SparkSession, folder: str, pattern: str = "*_parsed.csv") -> DataFrame:
     """Wells of all files of that name, one file per run, joined up by column name.
 
-    These files have no row number, and Spark gives none within a file, so a worker reads
-    each file (one plate) from its first row to its last and hands rows on in batches.
-    Columns may differ per file. A file that cannot be read ends the job with its name.
+    Spark's reader gives the fields of all files by position, the header of each as its
+    first row. These files have no row number; a file that may have line breaks inside
+    quotes is read by one task from its first row to its last, so the ids that Spark gives rows while it
+    scans keep their order. A window by file, which one task has read already, turns
+    them into row numbers and spreads the header over the rows. Columns may differ per file in number
+    and order; of equal names the last counts. A file that is not UTF-8 ends the job
+    with its name. The header is the first line that is not empty, without line breaks in it.
     """
-    columns = [f.name for f in WELLS if f.name != "row_idx"]
-    arrow = pa.schema([*[(c, pa.string()) for c in columns], ("row_idx", pa.int32())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                try:
-                    text = io.TextIOWrapper(io.BytesIO(content.as_py()), encoding="utf-8-sig", newline="")
-                    reader = csv.DictReader(text)
-                    named = ({**{c: r.get(c) or None for c in columns}, "row_idx": i} for i, r in enumerate(reader))
-                    while some := list(islice(named, BATCH_ROWS)):
-                        yield pa.RecordBatch.from_pylist(some, schema=arrow)
-                except (csv.Error, UnicodeDecodeError) as problem:
-                    raise ValueError(f"{path.as_py()} cannot be read: {problem}") from problem
-
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "content")
-    )
+    where = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    files = spark.read.format("binaryFile").options(**where).load(folder)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {pattern} below {folder}")
-    schema = ", ".join([*[f"{c} string" for c in columns], "row_idx int"])
-    return _typed(files.mapInArrow(rows, schema))
+    lines = spark.read.options(**where).text(folder).filter("length(value) > 0")
+    first = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    heads = first.groupBy("path").agg(F.min_by("value", F.struct("block", "line")).alias("head"))
+    width = heads.agg(F.max(F.regexp_count("head", F.lit(",")))).first()[0]
+    names = [f"c{i}" for i in range((width or 0) + 1)]
+    schema = ", ".join(f"{n} string" for n in names)
+    path, cells = F.col("_metadata.file_path"), F.array(*[F.nullif(F.col(n), F.lit("")) for n in names])
+    fields = (
+        spark.read.options(**{**_CSV, "header": False, "multiLine": True}, **where)
+        .schema(schema)
+        .csv(folder)
+        .select(path.alias("path"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"))
+    )
+    by_file = Window.partitionBy("path").orderBy("place")
+    # The mark that decoders put for bytes that are not UTF-8.
+    odd = F.exists("cells", lambda c: F.coalesce(c.contains("\ufffd"), F.lit(False)))
+    told = F.raise_error(F.concat("path", F.lit(" cannot be read: not UTF-8"))).cast("array<string>")
+    numbered = fields.select(
+        (F.row_number().over(by_file) - 2).alias("row_idx"),
+        F.when(odd, told).otherwise(F.col("cells")).alias("cells"),
+        F.reverse(F.first("cells").over(by_file)).alias("names"),
+    ).filter("row_idx >= 0")
+    plain = F.transform("names", lambda n: F.regexp_replace(n, "^\ufeff", ""))
+    at = [F.array_position("names", F.lit(f.name)).alias(f.name) for f in WELLS if f.name != "row_idx"]
+    # From the right of the reversed header to the left of the fields.
+    column = {
+        f.name: F.when(F.col(f"at.{f.name}") > 0, F.get("cells", (len(names) - F.col(f"at.{f.name}")).cast("int")))
+        for f in WELLS
+        if f.name != "row_idx"
+    }
+    mapped = numbered.withColumn("names", plain).withColumn("at", F.struct(*at)).withColumns(column)
+    return _typed(mapped.select(*column, "row_idx"))
 
 
 def _typed(text: DataFrame) -> DataFrame:

@@ -17,22 +17,36 @@ from platewise.schema import (
     RUN_INFO_KEYS,
     SHEET_ROWS,
 )
-from platewise.sources import xlsx_decode
+from platewise.sources import workbook_source, xlsx_decode
 
 # Ship the decoder with the tasks, so workers need no installed package.
 cloudpickle.register_pickle_by_value(xlsx_decode)
 
 
 
-def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """Sheet rows of all ``*.xlsx`` files below ``folder``, in any letter case."""
+def read_workbooks(spark: SparkSession, folder: str, reader: str = "auto") -> DataFrame:
+    """Sheet rows of all ``*.xlsx`` files below ``folder``, in any letter case.
+
+    ``reader`` is ``ranges`` for ``sources.workbook_source``, where memory does not depend on the
+    size of a file, or ``whole``, where Spark hands each file over as one value of at most
+    2 GiB, for stores that only Spark can open and for paths with wildcards; ``auto``
+    chooses by the path.
+    """
+    root = qualified(spark, folder)
+    if reader not in ("auto", "ranges", "whole"):
+        raise ValueError("reader is auto, ranges or whole")
+    plain = not re.search(r"[*?\[{]", folder) and root.partition(":")[0] in workbook_source.SCHEMES
+    if reader == "ranges" or (reader == "auto" and plain):
+        workbook_source.register(spark)
+        rows = spark.read.format(workbook_source.FORMAT).load(root)
+        return rows.withColumn("run_id", run_id_of(F.col("path"), root))
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[xX][lL][sS][xX]")
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    return decode_workbooks(files, qualified(spark, folder))
+    return decode_workbooks(files, root)
 
 
 def qualified(spark: SparkSession, folder: str) -> str:

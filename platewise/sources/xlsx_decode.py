@@ -18,6 +18,10 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 
 BATCH_ROWS = 4096
+#: A worker keeps the text table of a file; one that is larger makes the file unreadable.
+MAX_STRING_BYTES = 256 << 20
+#: The same for parts of a file that are read as a whole: its list of sheets and styles.
+MAX_PART_BYTES = 64 << 20
 
 ARROW_ROWS = pa.schema(
     [
@@ -44,8 +48,8 @@ def _local(tag: str) -> str:
 class _Parts:
     """Zip entries by part name: separators and letter case do not matter."""
 
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, file):
+        self.zip = zipfile.ZipFile(file)
         self.names = {i.filename.replace("\\", "/").lstrip("/").lower(): i for i in self.zip.infolist()}
 
     def has(self, name: str) -> bool:
@@ -55,6 +59,8 @@ class _Parts:
         return self.zip.open(self.names[name.lower()])
 
     def tree(self, name: str) -> ET.Element:
+        if self.names[name.lower()].file_size > MAX_PART_BYTES:
+            raise ValueError(f"{name} is too large")
         with self.open(name) as part:
             return ET.parse(part).getroot()
 
@@ -71,15 +77,30 @@ def _shown_text(item: ET.Element) -> str:
     return "".join(pieces)
 
 
-def _shared_strings(parts: _Parts) -> list[str]:
+def _elements(part, name: str) -> Iterator[ET.Element]:
+    """Elements of that local name, one at a time; what was read is forgotten."""
+    above: list[ET.Element] = []
+    for event, element in ET.iterparse(part, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag.endswith(name) and _local(element.tag) == name:
+            yield element
+            above[-1].clear()
+
+
+def _shared_strings(parts: _Parts, most: int) -> list[str]:
     name = "xl/sharedStrings.xml"
     strings: list[str] = []
+    held = 0
     if parts.has(name):
         with parts.open(name) as part:
-            for _, element in ET.iterparse(part):
-                if _local(element.tag) == "si":
-                    strings.append(_shown_text(element))
-                    element.clear()
+            for element in _elements(part, "si"):
+                strings.append(_shown_text(element))
+                held += len(strings[-1]) + 64
+                if held > most:
+                    raise ValueError(f"the table of texts is larger than {most} bytes")
     return strings
 
 
@@ -169,9 +190,7 @@ def _grid(parts: _Parts, part_name: str, *cell_args) -> Iterator[tuple[int, list
     row_idx = -1
     known: dict[str, int] = {}
     with parts.open(part_name) as part:
-        for _, element in ET.iterparse(part):
-            if element.tag[-3:] != "row":
-                continue
+        for element in _elements(part, "row"):
             ns = element.tag[:-3]
             cell_tag = ns + "c"
             row_idx = int(element.get("r")) - 1 if element.get("r") else row_idx + 1
@@ -186,24 +205,30 @@ def _grid(parts: _Parts, part_name: str, *cell_args) -> Iterator[tuple[int, list
                 while len(values) <= at:
                     values.append(None)
                 values[at] = _cell_text(cell, ns, *cell_args) or None
-            element.clear()
             if any(values):
                 yield row_idx, values
 
 
-def sheet_rows(path: str, content: bytes) -> Iterator[dict]:
-    """Rows of all sheets of one file; what fails ends up in ``error``."""
+def unreadable(path: str, problem: Exception) -> dict:
+    """The row that tells of a file that cannot be used."""
+    nothing = dict.fromkeys(("sheet_idx", "sheet_name", "row_idx", "values"))
+    return {"path": path, **nothing, "error": f"{type(problem).__name__}: {problem}"}
+
+
+def sheet_rows(path: str, content, string_bytes: int = MAX_STRING_BYTES) -> Iterator[dict]:
+    """Rows of all sheets of one file, given as bytes or as an open file that can be read
+    anywhere; what fails ends up in ``error``."""
 
     def row(sheet_idx=None, sheet_name=None, row_idx=None, values=None, error=None) -> dict:
         return {"path": path, "sheet_idx": sheet_idx, "sheet_name": sheet_name,
                 "row_idx": row_idx, "values": values, "error": error}
 
     try:
-        parts = _Parts(content)
+        parts = _Parts(io.BytesIO(content) if isinstance(content, bytes) else content)
         sheets, from_1904 = _sheets(parts)
-        cell_args = (_shared_strings(parts), _date_styles(parts), from_1904)
+        cell_args = (_shared_strings(parts, string_bytes), _date_styles(parts), from_1904)
     except Exception as problem:  # one bad file must not end the job
-        yield row(error=f"{type(problem).__name__}: {problem}")
+        yield unreadable(path, problem)
         return
     if not sheets:
         yield row(error="no sheets")
@@ -217,15 +242,24 @@ def sheet_rows(path: str, content: bytes) -> Iterator[dict]:
         yield row(sheet_idx, name, error=error)
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``mapInArrow`` body: (path, content) batches in, bounded batches of rows out."""
+def in_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a bounded number."""
     pending: list[dict] = []
-    for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content")):
-            for row in sheet_rows(path.as_py(), content.as_py()):
-                pending.append(row)
-                if len(pending) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(pending, schema=ARROW_ROWS)
-                    pending = []
+    for row in rows:
+        pending.append(row)
+        if len(pending) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(pending, schema=ARROW_ROWS)
+            pending = []
     if pending:
         yield pa.RecordBatch.from_pylist(pending, schema=ARROW_ROWS)
+
+
+def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` body: (path, content) batches in, bounded batches of rows out."""
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                yield from sheet_rows(path.as_py(), content.as_py())
+
+    yield from in_batches(rows())

@@ -154,3 +154,33 @@ def test_unreadable_parsed_files_are_named(spark, tmp_path):
     (tmp_path / "bad_parsed.csv").write_bytes(b"run_id,well\na,\xff\xfe\n")
     with pytest.raises(Exception, match="bad_parsed.csv cannot be read"):
         tables.load_parsed_files(spark, str(tmp_path)).collect()
+
+
+def test_parsed_files_of_any_header(spark, tmp_path):
+    """Byte order mark, quoted line breaks and quotes, blank lines, short and long rows, columns
+    twice, unknown columns, and very wide headers."""
+    wide = ",".join(["well", *[f"x{i}" for i in range(300)], "run_id"])
+    files = {
+        "a": '﻿run_id,well,sample_label\r\na,A01,"x ""y"",\nz"\r\n\r\na,A02\r\na,A03,l,more\r\n',
+        "b": wide + "\n" + ",".join(["B01", *["v"] * 300, "b"]) + "\n",
+        "c": "well,run_id,well\nC00,c,C01\n",
+        "d": "run_id,well\n",
+        "e": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}_parsed.csv").write_text(text, newline="")
+    got = tables.load_parsed_files(spark, str(tmp_path))
+    rows = got.select("run_id", "row_idx", "well", "sample_label").orderBy("run_id", "row_idx").collect()
+    assert [tuple(r) for r in rows] == [
+        ("a", 0, "A01", 'x "y",\nz'), ("a", 1, "A02", None), ("a", 2, "A03", "l"), ("b", 0, "B01", None), ("c", 0, "C01", None),
+    ]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+
+
+def test_a_large_parsed_file_keeps_its_order(spark, tmp_path):
+    lines = [f'big,A{i % 12 + 1:02d},"{i}\n"' for i in range(20_000)]
+    (tmp_path / "big_parsed.csv").write_text("run_id,well,sample_label\n" + "\n".join(lines) + "\n")
+    (tmp_path / "small_parsed.csv").write_text("run_id,well\nsmall,A01\n")
+    rows = tables.load_parsed_files(spark, str(tmp_path)).filter("run_id = 'big'").select("row_idx", "sample_label").collect()
+    assert sorted((r.row_idx, r.sample_label) for r in rows) == [(i, f"{i}\n") for i in range(20_000)]

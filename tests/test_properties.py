@@ -1,5 +1,6 @@
 """Results on random and on lopsided data against plain Python."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -124,3 +125,29 @@ def test_partitioning_does_not_matter(wells):
         lambda w: wells_ops.replicate_numbers(w.drop("replicate")),
     ):
         assert Counter(table(wells).collect()) == Counter(table(shuffled).collect())
+
+
+def test_sketched_boxes_are_near_the_exact_ones(spark):
+    """Rank errors of quartiles and whiskers on lopsided data, for all runs and for some."""
+    rows = [(f"r{i % 7}", "T", math.exp(random.Random(i).gauss(3, 0.4)), False, "x") for i in range(20_000)]
+    rows += [("r1", "U", 20.0, False, "x")] * 3000 + [("r2", "U", 21.0 + i, False, "x") for i in range(3)] + [("r3", "V", 5.0, False, "x")]
+    wells = spark.createDataFrame(rows, "run_id string, sample_type string, target_cq double, is_control boolean, well string")
+    for some in (wells, wells.filter("run_id in ('r1', 'r2')")):
+        values = {}
+        for r in some.collect():
+            values.setdefault(r.sample_type, []).append(r.target_cq)
+        sketches = boxes.cq_sketches(wells, 400).filter(F.col("run_id").isin([r[0] for r in some.select("run_id").distinct().collect()]))
+        exact = {r.sample_type: r for r in boxes.cq_box_stats(some).collect()}
+        near = {r.sample_type: r for r in boxes.box_stats_of_sketches(sketches, 400).collect()}
+        assert near.keys() == exact.keys()
+        for kind, own in values.items():
+            assert near[kind].n == exact[kind].n == len(own)
+            if len(own) < 2:
+                assert near[kind].q1 is None and near[kind].whisker_high is None
+                continue
+            for name in ("q1", "median", "q3", "whisker_low", "whisker_high"):
+                got, true = near[kind][name], exact[kind][name]
+                low, high = sorted((got, true))
+                between = sum(low < v < high for v in own)
+                assert between <= 0.01 * len(own), (kind, name, got, true)
+    assert boxes.cq_box_stats(wells, 400).columns == boxes.cq_box_stats(wells).columns
