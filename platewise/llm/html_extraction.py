@@ -1,8 +1,8 @@
 """Main text of web pages, without what a site repeats on its pages.
 
-Every page is read into a tree of elements. Elements that are never text of an article
-(scripts, menus, forms, page headers and footers, and those whose class, id or role says
-so) go at once. Of the others, each subtree has a hash of its names, attributes and text;
+Every page is read into a tree of elements, in time that grows as the page and at any depth of
+nesting. Elements that are never text of an article (scripts, menus, forms, page headers and
+footers, and those whose class, id or role says so, see ``_is_chrome``) go at once. Of the others, each subtree has a hash of its names, attributes and text;
 hashes are counted per host, and a subtree that ``least_pages`` pages and a share of
 ``least_share`` of the pages of a host have is part of the site's template and goes as well.
 Pages of which the same is left count as one, so copies of a page make no template, and pages
@@ -16,9 +16,10 @@ If at least half of the letters that are left are inside ``article`` or ``main``
 page gives the text inside them, any other page all that is left of its body.
 
 Block elements and line breaks separate; white space within a block becomes one blank, and
-blocks are joined by one blank. Character references are decoded.
+blocks are joined by one blank. All other elements, also those that go, leave nothing between the
+texts around them. Character references are decoded.
 
-Pages are dealt into parts by their content, and the template hashes go to the parts that
+Pages are dealt into parts of bounded size, and the template hashes go to the parts that
 have them, so a host of a third of all pages is spread over all tasks. Hashes are counted
 after a shuffle by hash and page, so no group grows with a host.
 
@@ -31,13 +32,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm.common import (
@@ -54,6 +55,7 @@ from platewise.llm.common import (
 LEAST_PAGES = 5
 LEAST_SHARE = 0.5
 ROWS_PER_PART = 1000
+PART_BYTES = 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea title xmp iframe noembed noframes".split())
@@ -61,12 +63,14 @@ NEVER = frozenset(
     "head nav footer aside form script style noscript template iframe svg canvas button select"
     " option textarea input dialog menu object embed audio video map title noembed noframes".split()
 )
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt"
-    " ruby s samp small span strike strong sub sup time tt u var wbr".split()
+#: Elements that separate what is before them from what is after; all others are inline.
+BLOCK = frozenset(
+    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt"
+    " fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li"
+    " main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr"
+    " ul".split()
 )
-#: Elements nested deeper belong to the one at this depth.
-DEPTH = 300
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element that a new one of the listed names ends.
 ENDED_BY = {
     "li": frozenset(["li"]),
@@ -83,24 +87,31 @@ ENDED_BY = {
 }
 #: Elements that the end of an inner element never reaches beyond.
 SCOPES = frozenset("html body article main section div table td th ul ol nav aside footer form".split())
+#: Words of class names and ids of what is not text of an article.
 _CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|comments?|disqus|replies"
-    r"|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip)(?:$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal"
+    r"|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|comments?|disqus|reply|replies"
+    r"|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip"
+)
+#: Words that may stand beside those in a name that means nothing else.
+_BESIDE = frozenset(
+    "area bar block bottom box btn button buttons container content footer form global header icons inner item"
+    " items left link links list main msg outer page panel post posts primary right secondary section site"
+    " slot text top unit wrap wrapper".split()
 )
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 )
 
+#: Quantifiers that give nothing back: a place that is no markup is left after one look.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|</?[a-zA-Z][^>]*+>",
     re.S,
 )
-#: A tag that the end of the page cuts off.
-_CUT_OFF = re.compile(r"</?[a-zA-Z][^<>]*\Z")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+#: Markup that the end of the page cuts off.
+_CUT_OFF = re.compile(r"</?[a-zA-Z]|<[!?]")
+_ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)")
 
 
 @dataclass
@@ -111,73 +122,150 @@ class Element:
     dropped: bool
     parts: list = field(default_factory=list)  #: texts and elements, in order
 
-    def key(self, found: list[tuple[int, Element]], in_text: bool = False) -> tuple[int, bool, bool]:
-        """Hash of the subtree, whether it has text, and whether it is or holds an article;
-        elements that may be template are added to ``found``. ``in_text``: the element
-        around it has text of its own."""
-        h = xxhash.xxh64(f"{self.name} {self.attributes}")
-        own = any(isinstance(p, str) and p.strip() for p in self.parts)
-        text, holds = own, self.name in ("article", "main")
-        for p in self.parts:
+
+class _Frame:
+    """An element whose subtree is being hashed. ``in_text``: the element around it has text
+    of its own."""
+
+    def __init__(self, element: Element, in_text: bool) -> None:
+        self.element, self.in_text = element, in_text
+        self.hash = xxhash.xxh64(f"{element.name} {element.attributes}")
+        self.own = any(isinstance(p, str) and p.strip() for p in element.parts)
+        self.text, self.holds = self.own, element.name in ("article", "main")
+        self.left = iter(element.parts)
+
+
+def keys(root: Element) -> tuple[int, bool, list[tuple[int, Element]]]:
+    """Hash of a page, whether it has text, and the elements that may be template with the
+    hashes of their subtrees. Nesting of any depth takes no recursion."""
+    found: list[tuple[int, Element]] = []
+    frames = [_Frame(root, False)]
+    while True:
+        frame = frames[-1]
+        for p in frame.left:
             if isinstance(p, str):
-                h.update(" ".join(p.split()) + "\n")
+                frame.hash.update(" ".join(p.split()) + "\n")
             elif not p.dropped:
-                key, has_text, holds_article = p.key(found, own)
-                h.update(key.to_bytes(8, "little"))
-                text, holds = text or has_text, holds or holds_article
-        key = h.intdigest()
-        within = in_text and self.name in INLINE
-        if text and not holds and not within and self.name not in ("html", "body"):
-            found.append((key, self))
-        return key, text, holds
+                frames.append(_Frame(p, frame.own))
+                break
+        if frames[-1] is not frame:
+            continue
+        frames.pop()
+        key, name = frame.hash.intdigest(), frame.element.name
+        within = frame.in_text and name not in BLOCK
+        if frame.text and not frame.holds and not within and name not in ("html", "body"):
+            found.append((key, frame.element))
+        if not frames:
+            return key, frame.text, found
+        above = frames[-1]
+        above.hash.update(key.to_bytes(8, "little"))
+        above.text, above.holds = above.text or frame.text, above.holds or frame.holds
+
+
+@lru_cache(maxsize=1 << 14)
+def names_chrome(names: str, only: bool) -> bool:
+    """Whether one of the names (of a class or id) has a word of what is no text; with ``only``
+    it must have no other words but such as stand beside them."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        chrome = [bool(_CHROME.fullmatch(w)) for w in words]
+        if any(chrome) and (not only or all(c or w in _BESIDE or w.isdigit() for c, w in zip(chrome, words, strict=True))):
+            return True
+    return False
 
 
 def _is_chrome(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether an element goes by its name, role, class or id. Ids are often made from
+    headings, and classes inside articles tell of their parts, so those count only if they mean
+    nothing else; ids inside articles, and names of headings, do not count."""
     if name in NEVER or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "article", "main") and not _COMMENT.search(attributes.get("class", "")):
+    classes = attributes.get("class", "")
+    if name in ("html", "body", "article", "main") and not _COMMENT.search(classes):
         return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return (
-        bool(_CHROME.search(named))
-        or attributes.get("role", "").lower() in _ROLES
+    if (
+        attributes.get("role", "").lower() in _ROLES
         or "hidden" in attributes
         or attributes.get("aria-hidden", "").lower() == "true"
-    )
+    ):
+        return True
+    if name in HEADINGS:
+        return False
+    return names_chrome(classes, in_article) or (not in_article and names_chrome(attributes.get("id", ""), True))
 
 
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
 
 
+class _Open:
+    """The elements that are open, with the places of those that end others or stop an end."""
+
+    def __init__(self, root: Element) -> None:
+        self.elements = [root]
+        self.places: dict[str, list[int]] = {}
+        #: Places of elements that may be ended by others, and of scopes.
+        self.marked: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, element: Element) -> None:
+        at, name = len(self.elements), element.name
+        self.elements.append(element)
+        self.places.setdefault(name, []).append(at)
+        if name in SCOPES or name in ENDED_BY:
+            self.marked.append(at)
+        if name in SCOPES:
+            self.scopes.append(at)
+
+    def cut(self, depth: int) -> None:
+        while len(self.elements) > depth:
+            name = self.elements.pop().name
+            self.places[name].pop()
+        for places in (self.marked, self.scopes):
+            while places and places[-1] >= depth:
+                places.pop()
+
+    def begin(self, name: str) -> None:
+        """Ends what a new element of this name ends."""
+        for at in reversed(self.marked):
+            open_name = self.elements[at].name
+            if name in ENDED_BY.get(open_name, ()):
+                self.cut(at)
+                return
+            if open_name in SCOPES:
+                return
+
+    def end(self, name: str) -> None:
+        places = self.places.get(name)
+        if places and (name in SCOPES or not self.scopes or places[-1] > self.scopes[-1]):
+            self.cut(places[-1])
+
+
 def parsed(html: str) -> Element:
     """The tree of a page. Unclosed elements end where HTML ends them, or with their parent."""
     root = Element("html", "", False, False)
-    stack, at = [root], 0
-    match = _MARKUP.search(html)
-    while match:
+    stack, at = _Open(root), 0
+    # Beyond the last end of a tag nothing is markup but what the end of the page cuts off.
+    end = html.rfind(">") + 1
+    while match := _MARKUP.search(html, at, max(at, end)):
         if match.start() > at:
-            stack[-1].parts.append(unescape(html[at : match.start()]))
+            stack.elements[-1].parts.append(unescape(html[at : match.start()]))
         at = match.end()
         name = (match[2] or "").lower()
         if name and match[1]:
-            _close(stack, name)
+            stack.end(name)
         elif name:
-            at = _open(stack, name, match[3] or "", html, at)
-        match = _MARKUP.search(html, at)
-    stack[-1].parts.append(unescape(_CUT_OFF.sub("", html[at:])))
+            at = _start(stack, name, match[3] or "", html, at)
+        elif at == end and match[0].startswith("<!--") and not match[0].endswith("-->"):
+            at = len(html)
+    cut_off = _CUT_OFF.search(html, at)
+    stack.elements[-1].parts.append(unescape(html[at : cut_off.start() if cut_off else len(html)]))
     return root
 
 
-def _open(stack: list[Element], name: str, attributes: str, html: str, at: int) -> int:
+def _start(stack: _Open, name: str, attributes: str, html: str, at: int) -> int:
     """Puts a new element in; gives the place to read on, beyond raw text."""
-    for depth in range(len(stack) - 1, 0, -1):
-        open_name = stack[depth].name
-        if name in ENDED_BY.get(open_name, ()):
-            del stack[depth:]
-            break
-        if open_name in SCOPES:
-            break
-    parent = stack[-1]
+    stack.begin(name)
+    parent = stack.elements[-1]
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes):
         values["hidden"] = ""
@@ -189,24 +277,13 @@ def _open(stack: list[Element], name: str, attributes: str, html: str, at: int)
     if name in VOID or attributes.rstrip().endswith("/"):
         return at
     if name in RAW:
-        end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, at)
-        return end.end() if end else len(html)
-    if len(stack) < DEPTH:
-        stack.append(element)
-    else:
-        parent.parts[-1] = " "
+        end = re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(html, at)
+        close = html.find(">", end.end()) if end else -1
+        return close + 1 if close >= 0 else len(html)
+    stack.push(element)
     return at
 
 
-def _close(stack: list[Element], name: str) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].name == name:
-            del stack[depth:]
-            return
-        if stack[depth].name in SCOPES and name not in SCOPES:
-            return
-
-
 def text_of(root: Element, templates: set[int]) -> str:
     """Text of what is left. ``templates`` holds the ``id()`` of elements that go."""
     inside, whole = _texts(root, templates)
@@ -214,7 +291,7 @@ def text_of(root: Element, templates: set[int]) -> str:
 
 
 def _is_most(inside: str, whole: str) -> bool:
-    """Whether at least half of the letters are inside articles."""
+    """Whether at least half of the letters (signs that are no white space) are inside articles."""
     return 2 * len(inside.replace(" ", "")) >= len(whole.replace(" ", ""))
 
 
@@ -223,28 +300,28 @@ def _texts(root: Element, templates: set[int]) -> tuple[str, str]:
     inside: list[str] = []
     out: list[str] = []
 
-    def walk(e: Element) -> None:
-        if e.dropped or id(e) in templates:
-            put(" ")
-            return
-        block = e.name not in INLINE
-        if block:
-            put(" ")
-        for p in e.parts:
-            if not isinstance(p, str):
-                walk(p)
-            else:
-                out.append(p)
-                if e.article:
-                    inside.append(p)
-        if block:
-            put(" ")
-
     def put(blank: str) -> None:
         out.append(blank)
         inside.append(blank)
 
-    walk(root)
+    left: list = [root]
+    while left:
+        e = left.pop()
+        if isinstance(e, str):
+            put(e)
+        elif isinstance(e, tuple):
+            text, article = e
+            out.append(text)
+            if article:
+                inside.append(text)
+        else:
+            gone = e.dropped or id(e) in templates
+            if e.name in BLOCK:
+                put(" ")
+                if not gone:
+                    left.append(" ")
+            if not gone:
+                left.extend((p, e.article) if isinstance(p, str) else p for p in reversed(e.parts))
     return " ".join("".join(inside).split()), " ".join("".join(out).split())
 
 
@@ -257,8 +334,7 @@ def _keyed(html: bytes, url: str | None) -> tuple[Element, list[tuple[int, Eleme
     """The page, its possible template elements with their keys, the host in them, the
     host, and a hash of what is left of the page; that is None if it has no text."""
     root = parsed(html.decode("utf-8", "replace"))
-    found: list[tuple[int, Element]] = []
-    content, text, _ = root.key(found)
+    content, text, found = keys(root)
     seed = xxhash.xxh64_intdigest(host_of(url))
     keyed = [(xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed), e) for k, e in found]
     return root, keyed, seed, content if text else None
@@ -319,11 +395,18 @@ def extract_text(
     least_pages: int = LEAST_PAGES,
     rows_per_part: int = ROWS_PER_PART,
     least_share: float = LEAST_SHARE,
+    row_id: Column | None = None,
 ) -> DataFrame:
-    """All pages without ``html``, with ``text`` and ``n_chars``."""
+    """All pages without ``html``, with ``text`` and ``n_chars``.
+
+    ``row_id`` is an expression that tells rows apart and is the same whenever the table is read;
+    without it, pages that are alike in all of id, url and html share a part.
+    """
     schema = with_columns(pages.drop("html"), ("text", "string"), ("n_chars", "long"))
-    parts = max(1, -(-pages.count() // rows_per_part))
-    number = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(parts)).cast("int")
+    size = pages.agg(F.count("*").alias("rows"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    parts = max(1, -(-size["rows"] // rows_per_part), -(-(size["bytes"] or 0) // PART_BYTES))
+    told = F.xxhash64("page_id", "url", "html") if row_id is None else F.xxhash64(row_id)
+    number = F.pmod(told, F.lit(parts)).cast("int")
     # Columns of the result are made anew, so only the others travel with the pages.
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*kept).withColumn("__part", number)
@@ -344,12 +427,15 @@ def extract_text(
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "__part"]
     first = back.select(*blank, F.col("part").alias("__part"), F.col("key").alias("__key"))
     both = first.unionByName(rows.withColumn("__key", F.lit(None).cast("long")))
-    dealt = both.repartition(shuffle_partitions(pages), "__part").sortWithinPartitions(
+    # A task gets a few parts, however many there are.
+    n = max(shuffle_partitions(pages), parts // 4)
+    dealt = both.repartition(n, "__part").sortWithinPartitions(
         "__part", F.col("__key").isNull()
     )
     return importable(dealt).mapInArrow(partial(_extract, schema=arrow_schema(schema)), schema)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract_text(pages).select("page_id", "url", "text", "n_chars")
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", place)
+    return extract_text(pages, row_id=F.col("place")).select("page_id", "url", "text", "n_chars")

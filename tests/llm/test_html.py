@@ -20,7 +20,24 @@ CASES = [
     ("<p hidden>no</p><p aria-hidden='true'>no</p><div role=navigation>no</div>yes", "yes"),
     ("</div></p>stray</article>", "stray"),
     ("<script>never closed <p>no", ""),
+    ("<p>one<script>x</script>two<img src=a>3<custom-tag>4</custom-tag><svg><path d=x></svg>5", "onetwo345"),
+    ("H<img src=a>2O<br>x<wbr>y<template>no</template>z", "H2O xyz"),
+    (
+        '<article><h2 id="search-engines">Search engines</h2><p>They rank pages.</p><h2 class="related" id="related-work">'
+        'Related work</h2><p>Old.</p><section id="social-share-of-income"><p>Income text.</p></section></article>',
+        "Search engines They rank pages. Related work Old. Income text.",
+    ),
+    ("<article>a<div class='share-buttons'>no</div><div class='market-share'>yes</div><div id=comments>yes</div></article>", "a yes yes"),
+    ("<div id=social-share-of-income>yes</div><div id=site-footer-2>no</div><div class='x-menu-y'>no</div>", "yes"),
+    ("<article>a<b>b</article></b>c</b><p>d", "ab"),
+    ("<ul><li><b>1<li>2</b></ul>3<dl><dt>4<dd>5<dt>6</dl>", "1 2 3 4 5 6"),
+    ("<a x='never closed> <p>text</p>", "text"),
+    ("before <a cut off", "before"),
+    ("x <!-- never closed <p>no", "x"),
+    ("a<script>no</scripted>no</script >b</textarea", "ab"),
     ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
+    ("<div>" * 400 + "<div class=menu>no</div><nav>no</nav>deep", "deep"),
+    ("<article>" + "<i>" * 60000 + "deep" + "</i>" * 60000 + "</article>", "deep"),
 ]
 
 
@@ -30,6 +47,78 @@ def test_cases(html, text):
     assert html_extraction.text_of(root, set()) == text
 
 
+HOSTILE = [
+    "<a x ", '<a "', "<a '>", "<a x='>", "<a \"><b '>", "<", "</", "</b", "<b>", "</i><b>", "<b></i>", "<p><b><div>", "<li><b>", "<td>",
+    "<script>", "</script", "<script></script", "<!-", "<!--", "<?", "&", "&#", "<a x", "x=", "<x " + "y" * 50, "<div class=menu>", "<table><b>",
+]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+@pytest.mark.parametrize("end", ["", ">", '">', "</p>"])
+def test_time_grows_as_the_page(piece, end):
+    """A page of 200 kB of the same piece is read in seconds."""
+    import time
+
+    page = (piece * (200_000 // len(piece)) + end).encode()
+    start = time.perf_counter()
+    html_extraction.text_of(html_extraction._subtrees(page, "http://a.example/")[0], set())
+    assert time.perf_counter() - start < 10
+
+
+def test_a_long_attribute():
+    page = "<p " + "a" * 300_000 + " b" * 100_000 + ">text"
+    assert html_extraction.text_of(html_extraction.parsed(page), set()) == "text"
+
+
+def test_half_of_the_letters():
+    """The text inside articles counts alone from half of the letters on."""
+    for inside, outside, want in (("abcde", "fghij", "abcde"), ("abcd", "fghij", "abcd fghij")):
+        page = html_extraction.parsed(f"<article>{inside}</article><p>{outside}</p>")
+        assert html_extraction.text_of(page, set()) == want
+
+
+def naive_templates(pages, least_pages, least_share):
+    """For each host its subtrees that enough distinct pages have, counted one by one."""
+    seen, contents = {}, {}
+    for url, html in pages:
+        root, keyed, host, content = html_extraction._keyed(html.encode(), url)
+        if content is None:
+            continue
+        contents.setdefault(host, set()).add(content)
+        for key, _ in keyed:
+            seen.setdefault((host, key), set()).add(content)
+    return {
+        key for (host, key), of in seen.items()
+        if len(of) >= least_pages and len(of) >= least_share * len(contents[host])
+    }
+
+
+def test_counts_change_pages_as_counted_one_by_one(spark):
+    """Random pages of a few hosts with boxes that recur; without the counts other text is left."""
+    import random
+
+    rng = random.Random(8)
+    boxes = [f"<div><p>box {i}</p><ul><li>entry {i}<li>all</ul></div>" for i in range(6)]
+    pages = []
+    for i in range(160):
+        parts = [b for j, b in enumerate(boxes) if rng.random() < (0.2, 0.5, 0.6, 0.9, 0.4, 0.55)[j]]
+        parts.insert(rng.randrange(len(parts) + 1), f"<p>text {rng.randrange(90)} <b>all</b></p>")
+        pages.append((f"https://h{rng.randrange(4)}.example/{i}", "".join(parts)))
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [r["text"] for r in html_extraction.extract_text(table, rows_per_part=20).orderBy("page_id").collect()]
+    gone = naive_templates(pages, html_extraction.LEAST_PAGES, html_extraction.LEAST_SHARE)
+    want, without = [], []
+    for url, html in pages:
+        root, keyed = html_extraction._subtrees(html.encode(), url)
+        want.append(html_extraction.text_of(root, {id(e) for k, e in keyed if k in gone}))
+        without.append(html_extraction.text_of(root, set()))
+    assert got == want
+    assert sum(a != b for a, b in zip(want, without)) > 100
+    off = html_extraction.extract_text(table, least_pages=10**9).orderBy("page_id").collect()
+    assert [r["text"] for r in off] == without
+
+
 def test_templates_by_host(spark):
     """What five pages of a host share goes, except in an article; other hosts keep it."""
     rows = []
