@@ -30,9 +30,13 @@ from platewise.functions.skew import join_side
 from platewise.llm.common import (
     arrow_schema,
     checkpointed,
+    fresh_name,
     importable,
+    replaced,
     shuffle_partitions,
     slices,
+    staged,
+    with_columns,
 )
 from platewise.llm.components import smallest_reachable
 from platewise.llm.words import Words
@@ -128,19 +132,39 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """The document of each component with the smallest id, with all its columns. Of
-    rows with equal ids one stays; rows without an id stay."""
-    dropped = duplicates.filter("doc_id != component_id").select(F.col("doc_id").alias("__dropped"))
-    unique = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.filter("doc_id is not null")
-    kept = (
-        named.join(dropped.distinct(), named["doc_id"] == F.col("__dropped"), "left_anti")
-        .withColumn("__row", F.row_number().over(unique))
-        .filter("__row = 1")
-        .drop("__row")
+def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates, with all its columns.
+
+    A group is what links of fingerprints reach; an id links nothing. So rows of one id whose texts are
+    no near-duplicates are different documents and stay, and of rows that are alike one
+    stays. Rows without an id stay. Which row of a group stays is settled on narrow rows; texts are
+    only shuffled by the number of their row, which has no hot values.
+    """
+    fp, row = fresh_name(docs, "__fp"), fresh_name(docs, "__row")
+    schema = with_columns(docs, (fp, "long"))
+    run = partial(_add_fingerprints, name=fp, k=shingle_words, schema=arrow_schema(schema))
+    numbered = importable(docs).mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id())
+    marked = staged(numbered, "simhash-documents")
+    narrow = marked.filter("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("said"),
+        F.col(fp).alias("fp"),
+        F.col(row).alias("row"),
     )
-    return kept.unionByName(docs.filter("doc_id is null"))
+    nodes = checkpointed(narrow.select("fp", F.col("fp").alias("rep")).distinct())
+    roots = smallest_reachable(fingerprint_links(nodes, max_bits)).withColumnsRenamed({"node": "fp", "root": "group"})
+    grouped = narrow.join(join_side(roots), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "said", "fp", "row")).alias("first"))
+    gone = grouped.join(join_side(first), "group").filter(F.col("row") != F.col("first.row"))
+    losers = gone.select(F.col("row").alias(row))
+    return marked.join(losers, row, "left_anti").select(*docs.columns)
+
+
+def _add_fingerprints(
+    batches: Iterator[pa.RecordBatch], name: str, k: int, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches, "text"):
+        yield replaced(batch, schema, **{name: simhashes(texts, k).view(np.int64)})
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

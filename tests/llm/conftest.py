@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 WORDS = ["der", "stone", "réve", "ing", "the", "of", "on", "sky", "größe", "x1", "idiot", "and"]
 
@@ -65,3 +67,75 @@ def plain_words():
 @pytest.fixture(scope="session")
 def alnum_words(ascii_lower):
     return lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
+
+
+def _fingerprint(words):
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.fixture(scope="session")
+def fingerprint():
+    return _fingerprint
+
+
+def _groups(fps):
+    """Smallest id reachable, by comparing all pairs."""
+    root = {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if any((x ^ y).bit_count() <= 2 for x in fps[a] for y in fps[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in fps}
+
+
+@pytest.fixture(scope="session")
+def groups():
+    return _groups
+
+
+def _removed(lists, window):
+    """Places of all words that go, by text."""
+    counts = Counter(tuple(w[i : i + window]) for w in lists for i in range(len(w) - window + 1))
+    return [
+        {i + k for i in range(len(w) - window + 1) if counts[tuple(w[i : i + window])] > 1 for k in range(window)}
+        for w in lists
+    ]
+
+
+@pytest.fixture(scope="session")
+def removed():
+    return _removed
+
+
+def _brute(texts, benchmark, words_of, window=10):
+    items = defaultdict(set)
+    for item, t in benchmark:
+        w = words_of(t)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            items[tuple(w[i : i + window])].add(item)
+    out = []
+    for i, t, _ in texts:
+        w = words_of(t)
+        hit, found = set(), set()
+        for n in {len(p) for p in items}:
+            for k in range(len(w) - n + 1):
+                own = items.get(tuple(w[k : k + n]))
+                if own:
+                    hit.update(range(k, k + n))
+                    found |= own
+        out.append((i, len(w), frozenset(hit), tuple(sorted(found - {None}))))
+    return out
+
+
+@pytest.fixture(scope="session")
+def leaks():
+    return _brute

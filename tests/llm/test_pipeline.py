@@ -43,17 +43,13 @@ def test_toxicity(stages, spark):
     assert sum(labels.get(i) == 0 for i, _ in gone) <= 0.05 * len(clean)
 
 
-def test_near_duplicates(stages, ascii_lower, plain_words):
-    from test_duplicates import fingerprint, groups
-
+def test_near_duplicates(stages, ascii_lower, plain_words, fingerprint, groups):
     before, after = stages["simhash near-dedup"]
     fps = {r["doc_id"]: [fingerprint(plain_words(ascii_lower(r["text"])))] for r in before.collect()}
     assert {r["doc_id"] for r in after.collect()} == set(groups(fps).values())
 
 
-def test_repeats(stages, plain_words):
-    from test_duplicates import removed
-
+def test_repeats(stages, plain_words, removed):
     before, after = stages["substring dedup"]
     rows = [(r["doc_id"], plain_words(r["text"])) for r in before.collect()]
     gone = removed([w for _, w in rows], 35)
@@ -61,14 +57,12 @@ def test_repeats(stages, plain_words):
     assert Counter((r["doc_id"], tuple(plain_words(r["text"]))) for r in after.collect()) == want
 
 
-def test_benchmark(stages, spark, alnum_words):
-    from test_search import brute
-
+def test_benchmark(stages, spark, alnum_words, leaks):
     before, after = stages["benchmark decontamination"]
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     texts = [(r["doc_id"], r["text"], None) for r in before.collect()]
     want = Counter()
-    for (i, t, _), (_, _, hit, _) in zip(texts, brute(texts, items, alnum_words), strict=True):
+    for (i, t, _), (_, _, hit, _) in zip(texts, leaks(texts, items, alnum_words), strict=True):
         want[i, tuple(w for k, w in enumerate(alnum_words(t)) if k not in hit)] += 1
     assert Counter((r["doc_id"], tuple(alnum_words(r["text"]))) for r in after.collect()) == want
 
@@ -97,6 +91,20 @@ def test_odd_documents_pass_all_stages(spark, docs, no_docs):
         rows.count()
 
 
+def test_rows_of_one_id_with_other_texts_pass_the_stages(spark):
+    """Only alike rows are one; the stages after it keep what is left as well."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(6)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (7, texts[2]), (8, texts[2]), (9, texts[3]), (None, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert rows_of(kept) == Counter([(7, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[3]), (None, texts[4]), (None, texts[4])])
+    packed = corpus_pipeline.pack(spark, kept, SF)
+    assert packed.filter("start = 0").count() == 6
+
+
 def test_every_operator_has_a_query():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]

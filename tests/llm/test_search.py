@@ -1,7 +1,7 @@
 """Decontamination against brute force, and the index against plain search."""
 
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,28 +55,8 @@ def benchmark_rows(texts):
     return rows + [(1, rows[2][1]), rows[3], (93, "again " * 12)]
 
 
-def brute(texts, benchmark, words_of, window=10):
-    items = defaultdict(set)
-    for item, t in benchmark:
-        w = words_of(t)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            items[tuple(w[i : i + window])].add(item)
-    out = []
-    for i, t, _ in texts:
-        w = words_of(t)
-        hit, found = set(), set()
-        for n in {len(p) for p in items}:
-            for k in range(len(w) - n + 1):
-                own = items.get(tuple(w[k : k + n]))
-                if own:
-                    hit.update(range(k, k + n))
-                    found |= own
-        out.append((i, len(w), frozenset(hit), tuple(sorted(found - {None}))))
-    return out
-
-
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_leaks(spark, docs, texts, benchmark_rows, alnum_words, block_bytes):
+def test_leaks(spark, docs, texts, benchmark_rows, alnum_words, block_bytes, leaks):
     benchmark = spark.createDataFrame(benchmark_rows, "item_id long, text string")
     found = decontamination.find_leaks(docs.drop("items"), benchmark, block_bytes=block_bytes).collect()
     got = Counter()
@@ -84,15 +64,15 @@ def test_leaks(spark, docs, texts, benchmark_rows, alnum_words, block_bytes):
         hit = frozenset(k for s in r["removal"] for k in range(s["begin"], s["end"]))
         assert len(hit) == r["n_hit"]
         got[r["doc_id"], r["n_words"], hit, tuple(r["items"])] += 1
-    assert got == Counter(brute(texts, benchmark_rows, alnum_words))
+    assert got == Counter(leaks(texts, benchmark_rows, alnum_words))
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 900])
-def test_cut_texts(spark, docs, texts, benchmark_rows, alnum_words, block_bytes):
+def test_cut_texts(spark, docs, texts, benchmark_rows, alnum_words, block_bytes, leaks):
     benchmark = spark.createDataFrame(benchmark_rows, "item_id long, text string")
     cut = decontamination.find_leaks(docs, benchmark, block_bytes=block_bytes, cut=True)
     want = Counter()
-    for (i, t, _), (_, _, hit, _) in zip(texts, brute(texts, benchmark_rows, alnum_words), strict=True):
+    for (i, t, _), (_, _, hit, _) in zip(texts, leaks(texts, benchmark_rows, alnum_words), strict=True):
         want[i, t is None, tuple(w for k, w in enumerate(alnum_words(t)) if k not in hit)] += 1
         if not hit:
             want["same", t] += 1
