@@ -234,7 +234,7 @@ def _incremental(table: Callable[[SparkSession, str], DataFrame]) -> Query:
 
 
 def _sketched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the quartiles of sketches lie within one percent of their rank."""
+    """Whether the quartiles of sketches lie within one percent, or one value, of their rank."""
     base = clean(spark, sf_dir)
     boxed = boxes.cq_box_stats(base, sketch_size=800).select("sample_type", "n", "q1", "median", "q3")
     value = F.col("target_cq")
@@ -250,7 +250,7 @@ def _sketched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def near(name: str, share: float) -> Column:
         n = F.col("n")
-        return ((F.col(f"{name}_below") <= n * (share + 0.01)) & (F.col(f"{name}_upto") >= n * (share - 0.01))).alias(f"{name}_near")
+        return ((F.col(f"{name}_below") <= n * (share + 0.01) + 1) & (F.col(f"{name}_upto") >= n * (share - 0.01) - 1)).alias(f"{name}_near")
 
     return counted.select("sample_type", "n", near("q1", 0.25), near("median", 0.5), near("q3", 0.75))
 

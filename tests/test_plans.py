@@ -60,8 +60,9 @@ def test_one_shuffle_per_aggregate(stored):
     assert shuffles(plates.plate_result_grid(stored)) == ["run_id, plate_row, plate_col"]
 
 
-def test_workbooks_need_one_shuffle_by_file(spark):
-    sheet_rows = catalog.laid_out(spark, SF_DIR)
+def test_workbooks_need_one_shuffle_by_file(spark, tmp_path):
+    catalog.laid_out(spark, SF_DIR).write.parquet(str(tmp_path / "rows"))
+    sheet_rows = spark.read.parquet(str(tmp_path / "rows"))
     assert shuffles(wells_ops.wells_from_sheet_rows(sheet_rows)) == ["path"]
     assert shuffles(workbooks.structure_facts(sheet_rows)) == ["path"]
 
