@@ -139,3 +139,31 @@ def _brute(texts, benchmark, words_of, window=10):
 @pytest.fixture(scope="session")
 def leaks():
     return _brute
+
+
+RAIL = [
+    "SPDX-License-Identifier: Responsible AI",
+    "The model is licensed under the Responsible AI License.",
+    "see the Responsible AI license",
+    "released under OpenRAIL-M",
+]
+
+LICENSES = [
+    "This work is licensed under the GNU General Public License, version 3.",
+    "Licensed under CC BY-NC 4.0.",
+    "SPDX-License-Identifier: Apache-2.0 and the MIT License",
+    "mit license mit license MIT LICENSE",
+    "Copyright. All rights reserved.",
+    "permit licenses and limit license",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+]
+
+
+@pytest.fixture(scope="session")
+def rail():
+    return RAIL
+
+
+@pytest.fixture(scope="session")
+def licenses():
+    return LICENSES

@@ -108,16 +108,8 @@ def test_keyword_of_every_alternative():
             assert any(g in plain for g in gate), (level, label, plain)
 
 
-RAIL = [
-    "SPDX-License-Identifier: Responsible AI",
-    "The model is licensed under the Responsible AI License.",
-    "see the Responsible AI license",
-    "released under OpenRAIL-M",
-]
-
-
-def test_responsible_ai(spark):
-    rows = spark.createDataFrame(list(enumerate(RAIL)), "doc_id long, text string")
+def test_responsible_ai(spark, rail):
+    rows = spark.createDataFrame(list(enumerate(rail)), "doc_id long, text string")
     found = {r["doc_id"]: [(d["label"], d["level"]) for d in r["detections"]] for r in license_scan.scan(rows).collect()}
     assert found == {0: [("openrail", 2)], 1: [("openrail", 3)], 2: [("openrail", 4)], 3: [("openrail", 3)]}
 
@@ -127,35 +119,24 @@ def places(words, phrase):
     return [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
 
 
-LICENSES = [
-    "This work is licensed under the GNU General Public License, version 3.",
-    "Licensed under CC BY-NC 4.0.",
-    "SPDX-License-Identifier: Apache-2.0 and the MIT License",
-    "mit license mit license MIT LICENSE",
-    "Copyright. All rights reserved.",
-    "permit licenses and limit license",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-]
-
-
-def test_license_base(spark, docs, texts, alnum_words):
-    more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(LICENSES)], "doc_id long, text string")
+def test_license_base(spark, docs, texts, alnum_words, licenses):
+    more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(licenses)], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(more)
     got = Counter(
         (r["doc_id"], r["n_words"], tuple(sorted((b["start"], b["label"]) for b in r["base"])))
         for r in license_scan.scan(rows).collect()
     )
     want = Counter()
-    for i, t in [(i, t) for i, t, _ in texts] + [(900 + i, t) for i, t in enumerate(LICENSES)]:
+    for i, t in [(i, t) for i, t, _ in texts] + [(900 + i, t) for i, t in enumerate(licenses)]:
         words = alnum_words(t)
         found = [(p, label) for phrase, label in license_scan.BASE.items() for p in places(words, phrase)]
         want[i, len(words), tuple(sorted(found))] += 1
     assert got == want
 
 
-def test_license_detections_equal_brute_force(spark, alnum_words):
+def test_license_detections_equal_brute_force(spark, alnum_words, licenses):
     """All rules by Python's regular expressions, and suppression by comparing all pairs."""
-    rows = [(i, t) for i, t in enumerate(LICENSES + [" ".join(LICENSES) * 3])]
+    rows = [(i, t) for i, t in enumerate(licenses + [" ".join(licenses) * 3])]
     scanned = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["doc_id"]: sorted((d["start"], d["stop"], d["level"], d["rule"]) for d in r["detections"]) for r in scanned.collect()}
     for i, text in rows:
