@@ -196,8 +196,10 @@ def _joined(texts: list[str]) -> np.ndarray:
 
 
 def learned(docs: DataFrame) -> Model:
-    """Ids are chosen by language and hash first; only their texts are read on."""
-    usable = docs.filter(F.col("lang").isNotNull() & (ascii_crc32(F.col("doc_id")) % 5 != 0))
+    """Ids of texts with a letter are chosen by language and hash first; only the letters of
+    their texts are taken, and these are cut after all else between them has become a blank."""
+    lettered = F.col("text").rlike(r"\p{L}")
+    usable = docs.filter(F.col("lang").isNotNull() & (ascii_crc32(F.col("doc_id")) % 5 != 0) & lettered)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         usable.select("doc_id", "lang")
@@ -208,7 +210,8 @@ def learned(docs: DataFrame) -> Model:
     # Bounded by TRAIN_ROWS for each language, as the automata are: no text is shuffled.
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     by_lang: dict[str, list[str]] = {}
-    found = texts.select("lang", "n", F.substring("text", 1, 4 * TRAIN_CUT).alias("text"))
+    only_letters = F.ltrim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    found = texts.select("lang", "n", F.substring(only_letters, 1, TRAIN_CUT).alias("text"))
     for r in found.orderBy("lang", "n", "text").toLocalIterator():
         if r["text"]:
             by_lang.setdefault(r["lang"], []).append(r["text"])

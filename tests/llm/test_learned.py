@@ -229,3 +229,18 @@ def test_on_given_tables(spark):
     clean = [r["score"] for r in held if not r["toxic"]]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
     assert auc > 0.85
+
+
+def test_languages_with_few_usable_texts(spark):
+    """Rows without letters take no place of others, and digits in front of a text none of its letters."""
+    rows = [(i, None if i % 2 else " 12 ?", "xx") for i in range(600)]
+    rows += [(1000 + i, "0 " * 5000 + "abc def " * 30, "xx") for i in range(60)]
+    rows += [(2000 + i, "ghi jkl " * 30, "yy") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learned(docs)
+    assert model.names == ["xx", "yy"]
+    assert "".join(map(chr, model.alphabet)) == "abcdefghijkl"
+    # 60 texts of each language less a fifth held out, 240 letters and blanks each, up to the bound.
+    assert all(b > 12 for b in model.bits)
+    found = {r["lang_pred"] for r in language_id.identify(docs.filter("doc_id >= 1000 and doc_id < 2000")).collect()}
+    assert found == {"xx"}
