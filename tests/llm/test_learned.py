@@ -90,6 +90,21 @@ def test_shares_of_all_labels(corpus, monkeypatch):
     assert all(0.5 <= t <= 0.9 for t in net.thresholds.values())
 
 
+def test_sample_takes_the_first_hashes_of_each_class(corpus, monkeypatch):
+    """The same rows as by ordering all labels of a class."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 40)
+    docs, labels = corpus
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h")).collect()
+    rows = sorted((r["h"], r["doc_id"], r["toxic"], r["text"]) for r in rows if crc(r["doc_id"], 3) != 1)
+    first = {c: [r for r in rows if r[2] == c][:40] for c in (0, 1)}
+    want = [(c, first[c][n], (n + 1) % 5 == 0) for n in range(40) for c in (0, 1)]
+    sample = toxicity.learning_sample(docs, labels)[0]
+    buckets, cuts = toxicity.bucket_lists([r[3].encode() for _, r, _ in want])
+    assert list(sample.toxic) == [c for c, _, _ in want] and len(set(sample.toxic)) == 2
+    assert list(sample.buckets) == list(buckets) and list(sample.first) == list(cuts)
+    assert list(sample.held) == [h for _, _, h in want]
+
+
 def test_a_very_long_document_does_not_end_the_sample(spark, corpus, monkeypatch):
     monkeypatch.setattr(toxicity, "TRAIN_WORDS", 60_000)
     docs, labels = corpus
