@@ -3,13 +3,12 @@
 A text is read as words in lower case, joined by one blank. Rules are regular expressions
 over that, in four levels: distinctive sentences of a license, identifiers in tags, phrases
 that grant a license, and plain names. A rule is tried only on texts that contain its
-keyword and that some rule of this keyword matches, and only texts with some keyword are
-normalised at all.
+keyword, and only texts with some keyword are normalised at all.
 
 Detections may overlap. One is suppressed if it lies within another of a better level, or
 of its own level (the longer, then the first rule, wins). They are taken in order of their
 start, the longest first, so that whatever contains a detection comes before it, and the
-furthest end seen on each level decides. A long text of many detections is walked in blocks.
+furthest end seen on each level decides.
 
 Null and empty texts have no words and no detection. Work is per row: no row depends on
 another, so repeated rows and equal ids get equal results. Columns added replace those of
@@ -67,154 +66,6 @@ SENTENCES = [
     ("artistic-2.0", "artistic", r"you are permitted to use and distribute the package under the artistic license 2 0"),
     ("public-domain", "domain", r"(?:has been |is hereby |are )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
     ("proprietary", "rights", r"all rights reserved"),
-    ("mit", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("mit", "restriction", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
-    ("mit", "liable", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
-    ("mit-0", "software", r"to permit persons to whom the software is furnished to do so the software is provided as is"),
-    ("x11", "dealings", r"the name of (?:\S+ ){1,8}shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
-    ("isc", "permission", r"provided that the above copyright notice and this permission notice appear in all copies"),
-    ("isc", "software", r"the software is provided as is and the authors? disclaims? all warranties with regard to this software"),
-    ("isc", "liable", r"in no event shall (?:the author|isc) be liable for any special direct indirect or consequential damages"),
-    ("hpnd", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
-    ("hpnd", "software", r"no representations (?:are made )?about the suitability of this software for any purpose"),
-    ("bsd", "redistribution", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd", "redistribution", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd", "software", r"this software is provided by (?:the )?(?:copyright holders and contributors|regents and contributors|authors? and contributors|authors?) as is and any express or implied warranties"),
-    ("bsd-3-clause", "endorse", r"the names? of (?:the )?(?:authors?|contributors|copyright holders?) may not be used to endorse or promote products derived from this software"),
-    ("bsd-4-clause", "software", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    ("bsd-3-clause-clear", "license", r"no express or implied licenses to any party s patent rights are granted by this license"),
-    ("bsd-2-clause-patent", "license", r"each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual worldwide non exclusive no charge royalty free irrevocable"),
-    ("0bsd", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
-    ("apache-1.1", "software", r"this product includes software developed by the apache software foundation"),
-    ("apache-1.1", "apache", r"the names apache and apache software foundation must not be used to endorse or promote products derived from this software"),
-    ("apache-2.0", "license", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("apache-2.0", "license", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("apache-2.0", "license", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except as stated in this section patent) license"),
-    ("apache-2.0", "licensed", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
-    ("gpl", "license", r"you should have received a copy of the gnu general public license along with this (?:program|library|file|package)"),
-    ("gpl", "warranty", r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl", "license", r"see the gnu general public license for more details"),
-    ("gpl", "freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
-    ("gpl", "license", r"the gnu general public license is (?:a free copyleft license for software and other kinds of works|intended to guarantee your freedom to share and change)"),
-    ("gpl", "license", r"activities other than copying distribution and modification are not covered by this license they are outside its scope"),
-    ("gpl-2.0", "license", r"as published by the free software foundation (?:either )?version 2 of the license"),
-    ("gpl-3.0", "license", r"as published by the free software foundation (?:either )?version 3 of the license"),
-    ("gpl-3.0", "license", r"this license refers to version 3 of the gnu general public license"),
-    ("gpl-3.0", "license", r"the gnu general public license does not permit incorporating your program into proprietary programs"),
-    ("gpl-exception", "statically", r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
-    ("gpl-exception", "exception", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
-    ("gpl-exception", "exception", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
-    ("gpl-exception", "openssl", r"permission to link (?:the code of portions of )?this program with the openssl library"),
-    ("gpl-exception", "runtime", r"you have permission to propagate a work of target code formed by combining the runtime library with independent modules"),
-    ("lgpl", "license", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:program|library|file|package)"),
-    ("lgpl", "license", r"see the gnu (?:lesser|library) general public license for more details"),
-    ("lgpl-2.1", "license", r"gnu lesser general public license (?:version|v) ?2 1"),
-    ("lgpl-3.0", "license", r"gnu lesser general public license (?:version|v) ?3(?: 0)?"),
-    ("lgpl-2.0", "license", r"gnu library general public license (?:version|v) ?2(?: 0)?"),
-    ("lgpl-3.0", "license", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
-    ("agpl", "license", r"you should have received a copy of the gnu affero general public license along with this (?:program|library|file|package)"),
-    ("agpl", "license", r"see the gnu affero general public license for more details"),
-    ("agpl-3.0", "license", r"gnu affero general public license (?:version|v) ?3(?: 0)?"),
-    ("agpl-3.0", "prominently", r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
-    ("gfdl", "license", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
-    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
-    ("mpl-2.0", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("mpl-2.0", "license", r"this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
-    ("mpl", "license", r"alternatively the contents of this file may be used under the terms of either the gnu general public license"),
-    ("epl-1.0", "eclipse", r"the accompanying program is provided under the terms of this eclipse public license"),
-    ("epl-2.0", "eclipse", r"are made available under the terms of the eclipse public license (?:v(?:ersion)? ?)?2 0"),
-    ("epl-1.0", "eclipse", r"are made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
-    ("cpl-1.0", "license", r"the accompanying program is provided under the terms of this common public license"),
-    ("ipl-1.0", "license", r"the accompanying program is provided under the terms of this ibm public license"),
-    ("cddl", "license", r"the contents of this file are subject to the terms of the common development and distribution license"),
-    ("cddl", "license", r"you can obtain a copy of the license at (?:\S+ ){1,12}see the license for the specific language governing permissions and limitations"),
-    ("eupl", "european", r"licensed under the eupl version 1 [012] or as soon they will be approved by the european commission"),
-    ("cecill", "license", r"this software is governed by the cecill(?: [abc])? license under french law"),
-    ("apsl-2.0", "license", r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
-    ("spl-1.0", "license", r"the contents of this file are subject to the sun public license"),
-    ("npl-1.1", "netscape", r"the contents of this file are subject to the netscape public license"),
-    ("qpl-1.0", "license", r"this file may be distributed under the terms of the q public license"),
-    ("osl-3.0", "license", r"licensed under the open software license version 3 0"),
-    ("afl-3.0", "license", r"licensed under the academic free license version 3 0"),
-    ("ms-pl", "microsoft", r"this license governs use of the accompanying software if you use the software you accept this license (?:microsoft public license )?(?:\S+ ){0,6}microsoft"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal license ms rl"),
-    ("ms-pl", "microsoft", r"microsoft public license ms pl"),
-    ("unlicense", "domain", r"anyone is free to copy modify publish use compile sell or distribute this software (?:\S+ ){1,24}public domain"),
-    ("unlicense", "copyright", r"we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors (?:\S+ ){1,24}copyright"),
-    ("unlicense", "unlicense", r"for more information please refer to https? (?:www )?unlicense org"),
-    ("wtfpl", "want", r"you just do what the fuck you want to"),
-    ("beerware", "beer", r"as long as you retain this notice you can do whatever you want with this stuff (?:\S+ ){1,20}you can buy me a beer in return"),
-    ("zlib", "software", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
-    ("zlib", "software", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
-    ("zlib", "software", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
-    ("libpng", "libpng", r"libpng versions? (?:\S+ ){1,12}are copyright"),
-    ("ijg", "software", r"this software is based in part on the work of the independent jpeg group"),
-    ("ftl", "freetype", r"portions of this software are copyright (?:\S+ ){1,4}the freetype project"),
-    ("curl", "permission", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
-    ("bsl-1.0", "license", r"obtaining a copy of the software and accompanying documentation covered by this license"),
-    ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0"),
-    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
-    ("ssleay", "cryptographic", r"this product includes cryptographic software written by eric young"),
-    ("php-3.0", "php", r"this product includes php software freely available from"),
-    ("php-3.0", "php", r"this source file is subject to version 3 0[01]? of the php license"),
-    ("python-2.0", "python", r"psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly (?:\S+ ){1,12}python"),
-    ("python-2.0", "python", r"this license agreement is between the python software foundation psf and the individual or organization licensee"),
-    ("postgresql", "incidental", r"in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
-    ("ncsa", "software", r"neither the names of (?:\S+ ){1,16}nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("w3c", "license", r"(?:this work is being provided by the copyright holders under the following license|w3c software (?:and document )?notice and license)"),
-    ("unicode", "unicode", r"permission is hereby granted free of charge to any person obtaining a copy of (?:the )?(?:unicode )?data files and any associated documentation (?:\S+ ){0,8}unicode"),
-    ("ofl-1.1", "font", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
-    ("ofl-1.1", "font", r"neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
-    ("artistic-1.0", "artistic", r"the intent of this document is to state the conditions under which a package may be copied (?:\S+ ){1,40}artistic control"),
-    ("artistic-2.0", "artistic", r"this is free software licensed under the artistic license 2 0"),
-    ("perl", "redistribute", r"you can redistribute it and or modify it under the same terms as perl itself"),
-    ("ruby", "ruby", r"you can redistribute it and or modify it under (?:either )?(?:the terms of |the )?(?:\S+ ){0,6}ruby s license"),
-    ("vim", "unmodified", r"there are no restrictions on distributing unmodified copies of vim"),
-    ("json", "evil", r"the software shall be used for good not evil"),
-    ("cc0-1.0", "rights", r"has waived all copyright and related or neighboring rights to"),
-    ("cc0-1.0", "domain", r"has dedicated the work to the public domain by waiving all of (?:his or her|their) rights to the work worldwide under copyright law"),
-    ("cc0-1.0", "creative", r"creative commons cc0 1 0(?: universal)?"),
-    ("cc-by-3.0", "creative", r"creative commons attribution 3 0 (?:unported|united states|international)(?: public)?"),
-    ("cc-by-2.0", "creative", r"creative commons attribution 2 [05](?: generic)?"),
-    ("cc-by-sa-3.0", "creative", r"creative commons attribution share ?alike 3 0 (?:unported|united states|international)"),
-    ("cc-by-sa-2.0", "creative", r"creative commons attribution share ?alike 2 [05](?: generic)?"),
-    ("cc-by-nc-3.0", "creative", r"creative commons attribution non ?commercial 3 0 (?:unported|united states|international)"),
-    ("cc-by-nd-3.0", "creative", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)? 3 0 (?:unported|united states|international)"),
-    ("cc-by-nc-sa-4.0", "creative", r"creative commons attribution non ?commercial share ?alike 4 0 international(?: public license)?"),
-    ("cc-by-nc-nd-4.0", "creative", r"creative commons attribution non ?commercial no ?derivatives 4 0 international(?: public license)?"),
-    ("cc-by-nc-sa-3.0", "creative", r"creative commons attribution non ?commercial share ?alike 3 0 (?:unported|united states|international)"),
-    ("cc-by-nc-nd-3.0", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)? 3 0 (?:unported|united states|international)"),
-    ("cc", "creative", r"to view a copy of this license visit https? (?:www )?creativecommons org"),
-    ("cc", "creative", r"send a letter to creative commons"),
-    ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]"),
-    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]"),
-    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1-4] [05]"),
-    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd [1-4] [05]"),
-    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd [1-4] [05]"),
-    ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
-    ("public-domain", "creativecommons", r"creativecommons org publicdomain mark 1 0"),
-    ("odbl", "database", r"this (?:\S+ ){1,8}is made available under the open database license"),
-    ("odc-by", "license", r"is made available under the open data commons attribution license"),
-    ("pddl", "domain", r"is made available under the public domain dedication and license"),
-    ("openstreetmap", "openstreetmap", r"openstreetmap contributors"),
-    ("ogl-uk", "licen", r"(?:contains public sector information licensed under the open government licen[cs]e|open government licen[cs]e v(?:ersion)? ?[123] 0)"),
-    ("sspl", "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service (?:\S+ ){0,30}server side public"),
-    ("busl", "business", r"the business source license this document or the license is not an open source license"),
-    ("busl", "license", r"effective on the change date or the fourth anniversary of the first publicly available distribution (?:\S+ ){1,16}license"),
-    ("elastic-2.0", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
-    ("commons-clause", "license", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
-    ("polyform-nc", "license", r"polyform noncommercial license(?: 1 0 0)?"),
-    ("llama", "llama", r"llama (?:[234](?: [0-9])? )?is licensed under the llama (?:[234](?: [0-9])? )?community license"),
-    ("openrail", "license", r"you agree not to use the model or derivatives of the model in any way that violates any applicable (?:\S+ ){1,24}license"),
-    ("openrail", "rail", r"creativeml open rail m"),
-    ("gemma", "gemma", r"gemma is provided under and subject to the gemma terms of use"),
-    ("proprietary", "confidential", r"this (?:document|software|file) (?:is|contains) (?:the )?(?:confidential and proprietary|proprietary and confidential)(?: information)?"),
-    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use)(?: or distribution)? of this (?:file|software|document|work)(?: via any medium)? is strictly prohibited"),
-    ("proprietary", "license", r"(?:end user license agreement|this software is licensed not sold)"),
-    ("proprietary", "permission", r"no part of this (?:publication|book|document|work) may be reproduced (?:\S+ ){1,40}without (?:the )?(?:prior )?(?:written )?permission"),
-    ("government-works", "copyright", r"(?:a work of the united states government and )?(?:is )?not subject to (?:domestic )?copyright protection (?:in|within) the united states"),
 ]
 
 #: Names: (label, keyword, expression). Each gives a rule for grants, tags and plain names.
@@ -288,8 +139,7 @@ NAMES = [
     ("elastic-2.0", "elastic", r"elastic(?: 2 0)?"),
     ("json", "json", r"json"),
     ("llama", "llama", r"llama(?: [23])? community"),
-    ("openrail", "rail", r"open ?rail(?: m)?"),
-    ("openrail", "responsible", r"responsible ai"),
+    ("openrail", "ai", r"(?:open ?rail(?: m)?|responsible ai)"),
     ("fair", "fair", r"fair"),
     ("vim", "vim", r"vim"),
     ("beerware", "beer", r"beer ?ware"),
@@ -340,39 +190,54 @@ def _between(body: str) -> str:
     return f"(?<= )(?:{body})(?= )"
 
 
+def _n_blanks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+
 def spans(norm: Column, expression: Column) -> Column:
     """Matches in words between blanks as structs (start, stop) of word numbers, in order.
 
-    Matches get a mark at each end, and the numbers of the marked words are their places. No
-    word of a text has such marks, as they are ASCII signs.
+    What lies between two matches begins and ends with a blank and so has one word less
+    than blanks; a match has one more.
     """
-    marked = F.split(F.regexp_replace(norm, expression, F.lit("<$0>")), " ", -1)
-    # The blank in front makes word 0 the second part.
-    first = F.filter(F.transform(marked, lambda w, i: F.when(w.startswith("<"), i - 1)), lambda i: i.isNotNull())
-    last = F.filter(F.transform(marked, lambda w, i: F.when(w.endswith(">"), i)), lambda i: i.isNotNull())
-    found = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+    gaps = F.transform(F.split(norm, expression, -1), lambda x: _n_blanks(x) - 1)
+    found = F.transform(F.regexp_extract_all(norm, expression, 0), lambda x: _n_blanks(x) + 1)
     empty = F.array().cast("array<struct<start: int, stop: int>>")
-    return F.when(F.regexp_like(norm, expression), found).otherwise(empty)
-
-
-def _tried(norm: str) -> Column:
-    """Rules that may match: those of a keyword that is there, if one expression with all of
-    them as branches matches. That one is compiled once, those of rules for each row."""
-    by_keyword: dict[str, list[tuple[str, str]]] = {}
-    for i, (level, label, confidence, keyword, body) in enumerate(rules()):
-        rule = f"named_struct('level', {level}, 'rule', {i}, 'label', '{label}', 'confidence', {confidence}D, 'expression', r'{_between(body)}')"
-        by_keyword.setdefault(keyword, []).append((rule, body))
-    # One text for all rules, as some thousands of calls from Python take seconds.
-    some = []
-    for keyword, own in by_keyword.items():
-        any_of = _between("|".join(f"(?:{body})" for _, body in own))
-        of_keyword = f"array({', '.join(rule for rule, _ in own)})"
-        some.append(f"if(contains({norm}, '{keyword}') and regexp_like({norm}, r'{any_of}'), {of_keyword}, array())")
-    return F.expr(f"concat({', '.join(some)})")
-
-
-def _detections(norm: Column, tried: Column) -> Column:
-    """All matches of the rules, by start and then the longest."""
+    walked = F.aggregate(
+        F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, n: F.struct(g.alias("g"), n.alias("n"))),
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda a, m: F.struct(
+            (a["at"] + m["g"] + m["n"]).alias("at"),
+            F.concat(
+                a["out"],
+                F.array(
+                    F.struct(
+                        (a["at"] + m["g"]).alias("start"), (a["at"] + m["g"] + m["n"]).alias("stop")
+                    )
+                ),
+            ).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    return F.when(F.regexp_like(norm, expression), walked).otherwise(empty)
+
+
+def _detections(norm: Column) -> Column:
+    """All matches of all rules whose keyword is there, by start and then the longest."""
+    table_of_rules = F.array(
+        *[
+            F.struct(
+                F.lit(level).alias("level"),
+                F.lit(i).alias("rule"),
+                F.lit(label).alias("label"),
+                F.lit(confidence).alias("confidence"),
+                F.lit(keyword).alias("keyword"),
+                F.lit(_between(body)).alias("expression"),
+            )
+            for i, (level, label, confidence, keyword, body) in enumerate(rules())
+        ]
+    )
+    tried = F.filter(table_of_rules, lambda r: F.contains(norm, r["keyword"]))
     found = F.transform(
         tried,
         lambda r: F.transform(
@@ -390,17 +255,11 @@ def _detections(norm: Column, tried: Column) -> Column:
     return F.sort_array(F.flatten(found))
 
 
-_KEPT = "array<struct<start: int, stop: int, level: int, rule: int, label: string, confidence: double>>"
-
-
 def _kept(detections: Column) -> Column:
-    """Detections that no other one suppresses.
-
-    They are walked in blocks of as many as there are blocks, since every step copies its
-    state: within a block that is short, and the list of all blocks is copied once for each.
-    """
+    """Detections that no other one suppresses."""
     levels = sorted(LEVELS)
-    ends = [f"end{i}" for i in levels]
+    kind = "array<struct<start: int, stop: int, level: int, rule: int, label: string, confidence: double>>"
+    start = F.struct(*[F.lit(-1).alias(f"end{i}") for i in levels], F.array().cast(kind).alias("out"))
 
     def step(a: Column, d: Column) -> Column:
         stop = -d["minus_stop"]
@@ -417,31 +276,10 @@ def _kept(detections: Column) -> Column:
                 F.when(d["level"] == i, F.greatest(a[f"end{i}"], stop)).otherwise(a[f"end{i}"]).alias(f"end{i}")
                 for i in levels
             ],
-            F.when(inside, a["block"]).otherwise(F.concat(a["block"], F.array(row))).alias("block"),
+            F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(row))).alias("out"),
         )
 
-    def walk(a: Column, block: Column) -> Column:
-        start = F.struct(*[a[end].alias(end) for end in ends], F.array().cast(_KEPT).alias("block"))
-        # A list of one, so that the block is walked once and its result named twice.
-        walked = F.transform(
-            F.array(F.aggregate(block, start, step)),
-            lambda b: F.struct(
-                *[b[end].alias(end) for end in ends], F.concat(a["blocks"], F.array(b["block"])).alias("blocks")
-            ),
-        )
-        return walked[0]
-
-    # Twice named, so that the detections stay a column that is computed once.
-    size = F.ceil(F.sqrt(F.size(detections))).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(1), F.size(detections), size), lambda i: F.slice(detections, i, size)
-    )
-    start = F.struct(
-        *[F.lit(-1).alias(end) for end in ends],
-        F.array().cast(f"array<{_KEPT}>").alias("blocks"),
-    )
-    kept = F.flatten(F.aggregate(blocks, start, walk, lambda a: a["blocks"]))
-    return F.when(F.size(detections) > 0, kept)
+    return F.aggregate(detections, start, step, lambda a: a["out"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -463,11 +301,13 @@ def scan(docs: DataFrame) -> DataFrame:
     none = "array<struct<start: bigint, label: string>>"
     found = read.withColumn(
         "base", F.when(norm.isNotNull(), base).otherwise(F.array().cast(none))
-    ).withColumn("__tried", F.when(norm.isNotNull(), _tried("__norm")))
-    found = found.withColumn("__detections", F.when(F.size("__tried") > 0, _detections(norm, F.col("__tried"))))
+    ).withColumn("__detections", F.when(norm.isNotNull(), _detections(norm)))
+    empty = F.array().cast(
+        "array<struct<start: int, stop: int, level: int, rule: int, label: string, confidence: double>>"
+    )
     return (
-        found.drop("__norm", "__tried")
-        .withColumn("detections", F.coalesce(_kept(F.col("__detections")), F.array().cast(_KEPT)))
+        found.drop("__norm")
+        .withColumn("detections", F.coalesce(_kept(F.col("__detections")), empty))
         .drop("__detections")
         .withColumn("license_score", F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)))
     )

@@ -2,7 +2,6 @@
 
 import random
 import re
-import time
 from collections import Counter
 from math import comb
 
@@ -168,40 +167,3 @@ def test_every_rule_is_reached(spark):
         plain = re.sub(r"\(\?:([^()|]*)\|[^()]*\)\??", r"\1", body)
         if re.search(rf"^(?:{body})$", plain):
             assert keyword in plain and any(g in plain for g in gate), (label, plain)
-
-
-def test_many_detections_in_one_text(spark):
-    """Lists of detections do not grow by copies of all before: this text has 100,000."""
-    rows = spark.createDataFrame([(1, "mit license " * 50_000), (2, "x " * 50_000 + "mit license")], "doc_id long, text string")
-    scanned = license_scan.scan(rows).withColumns(
-        {"n": F.size("detections"), "last": F.array_max("detections.start"), "n_base": F.size("base")}
-    )
-    begun = time.monotonic()
-    assert [tuple(r) for r in scanned.select("doc_id", "n", "last", "n_base").orderBy("doc_id").collect()] == [
-        (1, 50_000, 99_998, 50_000),
-        (2, 1, 50_000, 1),
-    ]
-    assert time.monotonic() - begun < 60
-
-
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17, 200])
-def test_suppression_in_blocks(spark, n):
-    """Blocks of detections give what comparing all pairs gives, at any number of them."""
-    rng = random.Random(n)
-    found = set()
-    while len(found) < n:
-        start = rng.randint(0, n)
-        found.add((start, -start - rng.randint(1, 9), rng.randint(1, 4), rng.randint(0, 99)))
-    kind = "array<struct<start: int, minus_stop: int, level: int, rule: int, label: string, confidence: double>>"
-    ordered = [(*d, "x", 1.0) for d in sorted(found)]
-    row = spark.createDataFrame([(ordered,)], f"d {kind}").select(license_scan._kept(F.col("d")).alias("kept")).first()
-    want = [
-        (d[0], -d[1], d[2], d[3])
-        for d in sorted(found)
-        if not any(
-            o != d and o[0] <= d[0] and o[1] <= d[1] and o[2] <= d[2]
-            and ((o[0], o[1]) != (d[0], d[1]) or o[2:] < d[2:])
-            for o in found
-        )
-    ]
-    assert [tuple(k)[:4] for k in row["kept"] or []] == want
