@@ -116,6 +116,62 @@ def test_a_very_long_document_does_not_end_the_sample(spark, corpus, monkeypatch
     assert len(sample.toxic) == len(usual.toxic) - 1 > 500
 
 
+def test_every_label_is_learned_from(corpus, monkeypatch):
+    """Bounds of the sample on the driver change no score, and all documents count."""
+    docs, labels = corpus
+    usual = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 30)
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 3000)
+    assert {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()} == usual
+    usable, shares = toxicity._usable(labels)
+    rows = toxicity.learning_rows(docs, usable, 3)
+    assert rows.count() == sum(shares) and rows.rdd.getNumPartitions() == 3
+    assert 0.15 < rows.filter("held").count() / sum(shares) < 0.25
+
+
+def test_buckets_and_odds_of_all_documents(corpus):
+    docs, labels = corpus
+    usable, _ = toxicity._usable(labels)
+    rows = toxicity.learning_rows(docs, usable, 4)
+    learn = [(r["toxic"], set(toxicity._unpacked(r["buckets"]))) for r in rows.filter("not held").collect()]
+    n = [sum(y == c for y, _ in learn) for c in (0, 1)]
+    net = toxicity._begun(rows, *n)
+    counts = [np.bincount([b for y, x in learn if y == c for b in x], minlength=1 << toxicity.BUCKET_BITS) for c in (0, 1)]
+    frequent = np.flatnonzero(counts[0] + counts[1] >= toxicity.LEAST_DOCUMENTS)
+    assert list(np.flatnonzero(net.row_of)) == list(frequent) and len(frequent) > 50
+    odds = np.log((counts[1][frequent] + 0.5) / (n[1] + 1)) - np.log((counts[0][frequent] + 0.5) / (n[0] + 1))
+    assert net.embeddings[1:, 0] == pytest.approx(np.clip(odds, -3, 4), abs=1e-5)
+
+
+def test_training_in_parts(corpus, monkeypatch):
+    """Several parts learn what one does, in any order of the rows, and twice the same."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    docs, labels = corpus
+    scored = toxicity.score_documents(docs, labels).join(labels, "doc_id").collect()
+    held = [r for r in scored if crc(r["doc_id"], 3) == 1]
+    hits = sum(r["score"] >= 0.7 and r["toxic"] for r in held)
+    assert hits / sum(r["toxic"] for r in held) > 0.9
+    assert hits / sum(r["score"] >= 0.7 for r in held) > 0.9
+    again = toxicity.score_documents(docs.repartition(3, "text"), labels.repartition(2)).collect()
+    # The same network; sums within a batch of other texts may end in another last bit.
+    scores = {r["doc_id"]: r["score"] for r in scored}
+    assert all(r["score"] == pytest.approx(scores[r["doc_id"]], rel=1e-5) for r in again)
+
+
+def test_thresholds_of_counts(spark, corpus):
+    """Thresholds by language from counts are those of the documents one by one."""
+    rng = np.random.default_rng(4)
+    n = 600
+    toxic, logits = rng.integers(0, 2, n), rng.normal(0, 2, n)
+    logits += toxic
+    lang = [["aa", "bb", None, ""][i % 4] for i in range(n)]
+    judged = spark.createDataFrame(list(zip(lang, toxic.tolist(), logits.tolist())), "lang string, toxic int, logit double")
+    rows = judged.unionByName(judged.filter("toxic = 0"))
+    shares = {x: tuple(int((toxic[[k == x for k in lang]] == c).sum()) * (2 - c) for c in (0, 1)) for x in ("aa", "bb")}
+    want = toxicity._thresholds(toxicity.sigmoid(1.5 * logits + 0.3), toxic, lang, shares)
+    assert toxicity._language_thresholds(rows, judged, (1.5, 0.3)) == want and len(want) == 2
+
+
 def test_no_network_is_reported(corpus, monkeypatch):
     docs, labels = corpus
     monkeypatch.setattr(toxicity, "TRAIN_WORDS", 0)
