@@ -1,5 +1,6 @@
 """The command line steps, one after the other, on files."""
 
+import os
 import csv
 
 import pytest
@@ -184,3 +185,14 @@ def test_a_large_parsed_file_keeps_its_order(spark, tmp_path):
     (tmp_path / "small_parsed.csv").write_text("run_id,well\nsmall,A01\n")
     rows = tables.load_parsed_files(spark, str(tmp_path)).filter("run_id = 'big'").select("row_idx", "sample_label").collect()
     assert sorted((r.row_idx, r.sample_label) for r in rows) == [(i, f"{i}\n") for i in range(20_000)]
+
+
+def test_trial_files_lie_in_two_folders(spark):
+    """One file per run, but no folder per run: each folder is a task of the listing."""
+    from checks import catalog
+
+    sf = "/root/testdata/sf0.001"
+    folder = catalog._parsed_files(spark, sf)
+    names = [os.path.join(at, f) for at, _, files in os.walk(folder.removeprefix("file:")) for f in files if f.endswith(".txt")]
+    assert len(names) == catalog.full(spark, sf).select("run_id").distinct().count() > 4
+    assert len({os.path.dirname(f) for f in names}) == 2
