@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from platewise.llm import queries
+from platewise.llm import queries, toxicity
 from platewise.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,15 @@ def test_toxicity(stages, spark):
     assert sum(labels.get(i) == 0 for i, _ in gone) <= 0.05 * len(clean)
 
 
+def test_toxicity_learns_from_every_label(stages, spark, monkeypatch):
+    """The stage takes no part in the bounded sample for trials."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 1)
+    monkeypatch.setattr(toxicity, "learning_sample", None)
+    monkeypatch.setattr(toxicity, "trained", None)
+    before, after = stages["toxicity"]
+    assert rows_of(corpus_pipeline.drop_toxic(spark, before, SF)) == rows_of(after)
+
+
 def test_near_duplicates(stages, ascii_lower, plain_words, fingerprint, groups):
     before, after = stages["simhash near-dedup"]
     fps = {r["doc_id"]: [fingerprint(plain_words(ascii_lower(r["text"])))] for r in before.collect()}
